@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import decontamination
+from evidentia.llm import decontamination, media, pii, secrets
 from evidentia.llm.keys import keyed
 from evidentia.sources.session import table
 
@@ -26,6 +26,48 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _counted(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*pii.KINDS[:4]))
+    return pii.detect(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[_counted(spans, kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]],
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed(spans).alias("spans"),
+        F.array_max(F.transform(spans, lambda s: s["score"])).alias("max_score"),
+    )
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document and in what is encoded in it."""
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: (s["depth"] == 0) & s["kind"].isin(*secrets.KINDS[:3]))
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[_counted(base, kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed(spans).alias("spans"),
+        "complete",
+    )
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as samples of an ISO media file and read back by its sample tables."""
+    return media.stored_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
+    "op6_pii": op6_pii,
+    "op7_secrets": op7_secrets,
+    "op10_media": op10_media,
 }
