@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import decontamination, media, pii, secrets
+from evidentia.llm import classifier, decontamination, media, pii, secrets
 from evidentia.llm.keys import keyed
 from evidentia.sources.session import table
 
@@ -60,6 +60,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from a classifier fitted on the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return classifier.score(docs, model).select("doc_id", classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as samples of an ISO media file and read back by its sample tables."""
     return media.stored_texts(table(spark, sf_dir, "documents"))
@@ -69,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
     "op7_secrets": op7_secrets,
+    "op8_quality": op8_quality,
     "op10_media": op10_media,
 }
