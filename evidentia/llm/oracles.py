@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from evidentia.llm import licenses
+
 _LOWER = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -23,6 +25,35 @@ select d.doc_id, cast(len(w) as bigint) n_words, coalesce(covered.n, 0) n_hit, c
 from d left join covered using (doc_id) left join found using (doc_id)
 """
 
+_RULES = ", ".join(f"({k}, {r.tier}, {licenses.CONFIDENCE[r.tier]!r}, '{r.label}', '{r.keyword}', '{r.pattern}')" for k, r in enumerate(licenses.rules()))
+_BASE = ", ".join(f"('{label}', '{licenses.wrapped(phrase)}')" for phrase, label in licenses.BASE)
+_PLACES = """
+  select {keep}, len(regexp_extract_all(norm, pattern)) m, string_split_regex(norm, pattern) pieces, regexp_extract_all(norm, pattern) texts
+  from {source} where regexp_matches(norm, pattern)"""
+_STARTS = """
+  select *, cast(list_sum(list_transform(pieces[1:k], lambda x: (len(x) - len(replace(x, ' ', ''))) // 2)) + coalesce(list_sum(list_transform(texts[1:k-1], lambda x: (len(x) - len(replace(x, ' ', ''))) // 2)), 0) as bigint) lo
+  from (select *, unnest(generate_series(1, m)) k from {source})"""
+
+OP2 = rf"""
+with d as (
+  select doc_id, len(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) n_words, ' ' || trim(regexp_replace(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g'), ' ') || ' ' norm
+  from (select doc_id, {_LOWER.format(c='text')} t from documents)),
+base as (select * from (values {_BASE}) b(label, pattern)),
+rules as (select * from (values {_RULES}) r(nr, tier, conf, label, keyword, pattern)),
+bm as ({_PLACES.format(keep='doc_id, label', source='d, base')}),
+bs as ({_STARTS.format(source='bm')}),
+rm as ({_PLACES.format(keep='doc_id, nr, conf, label', source='(select * from d, rules where contains(norm, keyword))')}),
+rs as (select doc_id, nr, conf, label, lo, lo + (len(texts[k]) - len(replace(texts[k], ' ', ''))) // 2 hi from ({_STARTS.format(source='rm')})),
+hits as (select * from rs a where not exists (select 1 from rs b where b.doc_id = a.doc_id and b.nr < a.nr and b.lo <= a.lo and b.hi >= a.hi)),
+bagg as (select doc_id, count(*) n, min(lo) f, max(lo) l, string_agg(distinct label, ',' order by label) labels from bs group by doc_id),
+every as (select doc_id, label, conf from hits union all select doc_id, label, {licenses.BASE_CONFIDENCE} from bs),
+lagg as (select doc_id, string_agg(distinct label, ',' order by label) labels, max(conf) score from every group by doc_id)
+select d.doc_id, cast(n_words as bigint) n_words, coalesce(n, 0) n_base, f first_word, l last_word, coalesce(bagg.labels, '') base_labels,
+  coalesce(lagg.labels, '') labels, cast(coalesce(score, 0) as double) score
+from d left join bagg using (doc_id) left join lagg using (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_licenses": OP2,
     "op5_decontamination": OP5,
 }
