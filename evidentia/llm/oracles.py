@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.llm import licenses
+from evidentia.llm import licenses, mixing
 
 _LOWER = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -53,7 +53,45 @@ select d.doc_id, cast(n_words as bigint) n_words, coalesce(n, 0) n_base, f first
 from d left join bagg using (doc_id) left join lagg using (doc_id)
 """
 
+_MIX = mixing.Mix()
+
+
+def _case(column: str, weights: dict) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then {v}" for k, v in weights.items()) + f" else {_MIX.other} end" if weights else str(_MIX.other)
+
+
+def _shares(nodes: str, parent: str, own: str) -> str:
+    by = f"partition by {parent}" if parent else ""
+    return f"""
+  select *, case when isfull then cap else (weight * (total - taken)) // open end budget from (
+    select *, min(before) filter (where not isfull) over ({by}) taken, max(weights) filter (where not isfull) over ({by}) open from (
+      select *, cap * weights <= weight * (total - before) isfull from (
+        select *, coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0)::bigint before,
+          sum(weight) over (o rows between current row and unbounded following)::bigint weights
+        from ({nodes}) window o as ({by} order by cap / weight, {own}))))"""
+
+
+OP4 = rf"""
+with t as (
+  select doc_id, coalesce(lang, 'und') lang, coalesce(source, 'unknown') source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint n_tokens,
+    try_cast(regexp_extract(coalesce(source, ''), '^[a-z]+([0-9]{{1,6}})$', 1) as int) // {_MIX.per_domain} nth
+  from documents),
+r as (select doc_id, coalesce({list(_MIX.domains)}[nth + 1], 'other') "domain", lang, source, n_tokens from t),
+sizes as (select "domain", lang, source, sum(n_tokens)::bigint tokens, (sum(n_tokens) * {_MIX.epochs})::bigint cap from r group by all having sum(n_tokens) > 0),
+langs as (select "domain", lang, sum(cap)::bigint cap from sizes group by all),
+tops as ({_shares(f'select "domain", sum(cap)::bigint cap, {_case(chr(34) + "domain" + chr(34), _MIX.domain_weights)} weight, (select sum(n_tokens)::bigint * {_MIX.share} // 100 from r) total from langs group by "domain"', '', '"domain"')}),
+l2 as ({_shares(f'select langs.*, {_case("lang", _MIX.lang_weights)} weight, tops.budget total from langs join tops using ("domain")', '"domain"', 'lang')}),
+l3 as ({_shares(f'select sizes.*, {_case("source", _MIX.source_weights)} weight, l2.budget total from sizes join l2 using ("domain", lang)', '"domain", lang', 'source')}),
+p as (
+  select r.*, budget // tokens whole, budget % tokens rest, md5('{_MIX.seed}:' || (budget // tokens) || ':' || coalesce(doc_id::varchar, '')) place
+  from r join l3 using ("domain", lang, source) where budget > 0),
+c as (select *, sum(n_tokens) over (partition by "domain", lang, source order by place, doc_id, n_tokens range between unbounded preceding and current row) upto from p)
+select doc_id, "domain", lang, source, unnest(generate_series(0, whole + (upto <= rest)::int - 1))::bigint epoch, n_tokens from c
+"""
+
 ORACLES: dict[str, str] = {
     "op2_licenses": OP2,
+    "op4_mixing": OP4,
     "op5_decontamination": OP5,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import classifier, decontamination, licenses, media, pii, secrets
+from evidentia.llm import classifier, decontamination, licenses, media, mixing, pii, secrets
 from evidentia.llm.keys import keyed
 from evidentia.sources.session import table
 
@@ -17,6 +17,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labelled(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and epochs that meet the target weights."""
+    return mixing.select(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of ten-word benchmark windows in every document."""
     found = decontamination.find_leaks(keyed(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
@@ -79,6 +84,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
+    "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
     "op7_secrets": op7_secrets,
