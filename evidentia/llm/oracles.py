@@ -90,8 +90,18 @@ c as (select *, sum(n_tokens) over (partition by "domain", lang, source order by
 select doc_id, "domain", lang, source, unnest(generate_series(0, whole + (upto <= rest)::int - 1))::bigint epoch, n_tokens from c
 """
 
+OP9 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+win as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) h from (select doc_id, w, unnest(generate_series(1, len(w) - 49)) i from d where len(w) >= 50)),
+low as (select h, min(doc_id) low from win group by h having min(doc_id) < max(doc_id)),
+gone as (select doc_id, list(distinct p) p from (select doc_id, unnest(generate_series(i, i + 49)) p from win join low using (h) where low < doc_id) group by doc_id),
+k as (select d.doc_id, len(w) n, coalesce(len(p), 0) r, case when p is null then w else list_filter(w, lambda x, i: not list_contains(p, i)) end kept from d left join gone using (doc_id))
+select doc_id, n::bigint n_words, r::bigint n_removed, sha256(array_to_string(kept, ' ')) kept_sha256 from k
+"""
+
 ORACLES: dict[str, str] = {
     "op2_licenses": OP2,
     "op4_mixing": OP4,
     "op5_decontamination": OP5,
+    "op9_substrings": OP9,
 }

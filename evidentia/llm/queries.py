@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import classifier, decontamination, licenses, media, mixing, pii, secrets
+from evidentia.llm import classifier, decontamination, licenses, media, mixing, pii, secrets, substrings
 from evidentia.llm.keys import keyed
 from evidentia.sources.session import table
 
@@ -77,6 +77,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, model).select("doc_id", classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less the fifty-word passages that an earlier document has."""
+    return substrings.dedup(table(spark, sf_dir, "documents"), 50)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as samples of an ISO media file and read back by its sample tables."""
     return media.stored_texts(table(spark, sf_dir, "documents"))
@@ -89,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
+    "op9_substrings": op9_substrings,
     "op10_media": op10_media,
 }
