@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import classifier, decontamination, licenses, media, mixing, pii, secrets, substrings
+from evidentia.llm import classifier, decontamination, licenses, media, mixing, pages, pii, secrets, substrings
 from evidentia.llm.keys import keyed
 from evidentia.sources.session import table
 
@@ -17,6 +17,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labelled(table(spark, sf_dir, "documents"))
 
 
+def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and epochs that meet the target weights."""
     return mixing.select(table(spark, sf_dir, "documents"))
@@ -89,6 +94,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
+    "op3_pages": op3_pages,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
