@@ -99,7 +99,25 @@ k as (select d.doc_id, len(w) n, coalesce(len(p), 0) r, case when p is null then
 select doc_id, n::bigint n_words, r::bigint n_removed, sha256(array_to_string(kept, ' ')) kept_sha256 from k
 """
 
+OP1 = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER.format(c='text')}, '[^\x20\x09-\x0D]+') w from documents),
+g as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 3), ' ') s
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) i from d where len(w) > 0)),
+n as (select doc_id, count(*) n from g group by doc_id),
+links as (
+  select a, b from (select x.doc_id a, y.doc_id b, count(*) common from g x join g y on x.s = y.s and x.doc_id < y.doc_id group by all)
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * common >= 85 * (na.n + nb.n - common)),
+reach as (
+  select a x, b y from links union select b, a from links
+  union select r.x, l.b from reach r join (select a, b from links union select b, a from links) l on r.y = l.a),
+low as (select x, min(y) y from reach group by x)
+select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, coalesce(low.y, d.doc_id)) component_id
+from d left join n using (doc_id) left join low on low.x = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_jaccard": OP1,
     "op2_licenses": OP2,
     "op4_mixing": OP4,
     "op5_decontamination": OP5,

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import classifier, decontamination, licenses, media, mixing, pages, pii, secrets, substrings
+from evidentia.llm import classifier, decontamination, jaccard, licenses, media, mixing, pages, pii, secrets, substrings
 from evidentia.llm.keys import keyed
 from evidentia.sources.session import table
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of four-word shingles are 85 % alike."""
+    return jaccard.similar(table(spark, sf_dir, "documents"), jaccard.Similarity(4, 85))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and labels of every document."""
     return licenses.labelled(table(spark, sf_dir, "documents"))
@@ -93,6 +98,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_licenses": op2_licenses,
     "op3_pages": op3_pages,
     "op4_mixing": op4_mixing,
