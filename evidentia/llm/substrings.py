@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import words
-from evidentia.llm.keys import smallest_first
+from evidentia.llm.keys import maybe_broadcast, smallest_first
 from evidentia.sources.session import checkpointed
 
 # A difference cover of 31; every residue is a difference of two of its places, exactly one way.
 COVER = (0, 1, 3, 8, 12, 18)
 PERIOD = 31
+#: Range bounds that may be sent to every task (16 MB of longs); more take a join that shuffles texts.
+BROADCAST_BOUNDS = 2_000_000
 _ANCHOR_BASE = 0x9E3779B97F4A7C15
 _WINDOW_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -75,42 +77,58 @@ def _windows(width: int):
     return scan
 
 
-def _cut(width: int):
-    """Word counts and the digest of what is left of each text."""
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's word count and the digest of its words, joined by one space."""
+    for batch in batches:
+        n_words, digests = [], []
+        for text in batch.column("text").cast(pa.large_binary()):
+            own = (text.as_py() or b"").split()
+            n_words.append(len(own))
+            digests.append(hashlib.sha256(b" ".join(own)).hexdigest())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_key", "doc_id", "place")), pa.array(n_words, pa.int64()), pa.array(digests, pa.string())], ["row_key", "doc_id", "place", "n_words", "sha256"])
+
+
+def _ranges(width: int):
+    """Window starts as the word ranges that they cover."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            n_words, n_removed, digests = [], [], []
-            for text, starts in zip(texts, batch.column("starts"), strict=True):
-                own = (text.as_py() or b"").split()
-                if starts.is_valid:
-                    gone = np.zeros(len(own) + 1, np.int32)
-                    at = np.unique(np.array(starts.values))
-                    gone[at] += 1
-                    np.add.at(gone, at + width, -1)
-                    left = np.cumsum(gone[:-1]) == 0
-                    n_removed.append(int(len(own) - left.sum()))
-                    n_words.append(len(own))
-                    own = [own[k] for k in np.flatnonzero(left)]
-                else:
-                    n_words.append(len(own))
-                    n_removed.append(0)
-                digests.append(hashlib.sha256(b" ".join(own)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            found = []
+            for starts in batch.column("starts"):
+                at = np.unique(np.array(starts.values, np.int64))
+                heads = np.flatnonzero(np.append(True, np.diff(at) > width))
+                tails = np.append(heads[1:], len(at)) - 1
+                found.append(np.stack([at[heads], at[tails] + width], 1).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(found, pa.list_(pa.int64()))], ["row_key", "bounds"])
 
     return scan
 
 
-def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
-    """``row_key, starts``: where windows begin whose words also stand in a row with a smaller ``place``.
-
-    ``docs`` has ``row_key`` (unique), ``place`` (long, the order of documents) and ``text``. Anchors are windows
-    of ``width - PERIOD + 1`` words at difference-cover places, so any common window of ``width`` words has an
-    anchor at a cover place of both documents. Anchors of one document only are dropped by an aggregation that
-    combines before it shuffles; around the others every window is extended to its full width and compared by a
-    128-bit hash. The smallest place of each window comes from an aggregation too, so no group of copies meets in
-    one task, and the join back can be split.
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count of removed words and the digest of what is left of each text."""
+    for batch in batches:
+        n_removed, digests = [], []
+        for text, bounds in zip(batch.column("text").cast(pa.large_binary()), batch.column("bounds"), strict=True):
+            own = (text.as_py() or b"").split()
+            left, at = [], 0
+            for lo, hi in np.array(bounds.values).reshape(-1, 2).tolist():
+                left += own[at:lo]
+                at = hi
+            left += own[at:]
+            n_removed.append(len(own) - len(left))
+            digests.append(hashlib.sha256(b" ".join(left)).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], ["row_key", "n_removed", "left_sha256"])
+
+
+def repeated_ranges(docs: DataFrame, width: int = 50) -> DataFrame:
+    """``row_key, bounds``: the word ranges of windows whose words also stand in a row with a smaller ``place``.
+
+    ``docs`` has ``row_key`` (unique), ``place`` (long, the order of documents) and ``text``; ``bounds`` is lo, hi,
+    lo, hi and so on. Anchors are windows of ``width - PERIOD + 1`` words at difference-cover places, so any
+    common window of ``width`` words has an anchor at a cover place of both documents. Anchors of one document only
+    are dropped by an aggregation that combines before it shuffles; around the others every window is extended to
+    its full width and compared by a 128-bit hash. The smallest place of each window comes from an aggregation
+    too, so no group of copies meets in one task, and the join back can be split.
     """
     texts = docs.select("row_key", "place", "text")
     anchors = texts.mapInArrow(_anchors(width), "row_key long, place long, anchor long")
@@ -118,17 +136,30 @@ def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     held = anchors.select("row_key", "anchor").join(shared, "anchor").groupBy("row_key").agg(F.collect_set("anchor").alias("anchors"))
     windows = checkpointed(texts.join(held, "row_key").select("row_key", "place", "anchors", "text").mapInArrow(_windows(width), "row_key long, place long, at int, h1 long, h2 long"))
     low = windows.groupBy("h1", "h2").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low < high").drop("high")
-    return windows.join(low, ["h1", "h2"]).filter("low < place").groupBy("row_key").agg(F.collect_list("at").alias("starts"))
+    starts = windows.join(low, ["h1", "h2"]).filter("low < place").groupBy("row_key").agg(F.collect_list("at").alias("starts"))
+    return starts.mapInArrow(_ranges(width), "row_key long, bounds array<long>")
 
 
 def dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each row of ``docs`` (``doc_id, text``).
 
     A word goes if a window of ``width`` consecutive words covers it whose sequence also starts in a document with
-    a smaller id; windows are judged on the input. Null texts have no words, null ids come after all others and
-    remove nothing from each other, repeated ids are one document in that order and each row is judged, an empty
-    table gives no rows.
+    a smaller id; windows are judged on the input. Texts of one word sequence are told first: all but those of the
+    smallest id go whole and the windows of one are looked at only. Null texts have no words, null ids come after
+    all others and remove nothing from each other, repeated ids are one document in that order and each row is
+    judged, an empty table gives no rows.
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), smallest_first().alias("place"), F.col("text").cast("string").alias("text"))
-    starts = repeated_windows(rows.select("row_key", "place", "text"), width)
-    return rows.join(starts, "row_key", "left").select("doc_id", "text", "starts").mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    whole = checkpointed(rows.mapInArrow(_whole, "row_key long, doc_id long, place long, n_words long, sha256 string"))
+    low = whole.filter(F.col("n_words") >= width).groupBy("sha256").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low < high").drop("high")
+    copies = checkpointed(whole.filter(F.col("n_words") >= width).join(low, "sha256").filter("place > low").select("row_key").distinct())
+    texts = rows.join(maybe_broadcast(copies), "row_key", "left_anti")
+    found = checkpointed(repeated_ranges(texts, width))
+    # A range is two longs, so as many of them as ids fit.
+    few = found.agg(F.coalesce(F.sum(F.size("bounds") + 2), F.lit(0))).first()[0] <= BROADCAST_BOUNDS
+    cut = rows.join(F.broadcast(found) if few else found, "row_key").select("row_key", "text", "bounds").mapInArrow(_cut, "row_key long, n_removed long, left_sha256 string")
+    gone = copies.select("row_key", F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit("").cast("binary"), 256).alias("left_sha256"))
+    gone = gone.unionByName(cut.dropDuplicates(["row_key"])).withColumn("hit", F.lit(True))
+    out = whole.join(gone, "row_key", "left")
+    removed = F.when(F.col("hit"), F.coalesce("n_removed", "n_words")).otherwise(F.lit(0)).cast("long")
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("left_sha256", "sha256").alias("kept_sha256"))
