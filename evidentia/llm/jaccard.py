@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm import words
-from evidentia.llm.keys import maybe_broadcast, smallest_first
+from evidentia.llm.keys import free_name, maybe_broadcast, smallest_first
 from evidentia.operators.graph import connected_components
 from evidentia.sources.session import checkpointed
 
@@ -325,10 +325,11 @@ def one_of_each(docs: DataFrame, like: Similarity) -> DataFrame:
 
     Rows with empty sets are groups of their own.
     """
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    rows = keyed.select("row_key", smallest_first().alias("place"), F.col("text").cast("string").alias("text"))
+    key = free_name(docs.columns, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    rows = keyed.select(F.col(key).alias("row_key"), smallest_first().alias("place"), F.col("text").cast("string").alias("text"))
     found = groups(rows, like)
     order = Window.partitionBy("component", F.when(F.col("n_shingles") == 0, F.col("row_key"))).orderBy("place", "row_key")
-    first = found.filter("place = component").withColumn("nr", F.row_number().over(order)).filter("nr = 1").select("row_key")
-    kept = keyed.join(maybe_broadcast(checkpointed(first)), "row_key", "left_semi")
-    return kept.dropDuplicates(["row_key"]).drop("row_key")
+    first = found.filter("place = component").withColumn("nr", F.row_number().over(order)).filter("nr = 1").select(F.col("row_key").alias(key))
+    kept = keyed.join(maybe_broadcast(checkpointed(first)), key, "left_semi")
+    return kept.dropDuplicates([key]).drop(key)

@@ -22,3 +22,11 @@ def smallest_first(column: str = "doc_id") -> Column:
 def maybe_broadcast(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a narrow table for broadcast if it has ``most`` rows at most; else leave the join to shuffle."""
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
