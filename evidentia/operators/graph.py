@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.sources.session import checkpointed
@@ -34,3 +34,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         size = now
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
+
+
+def grouped_scenes(scenes: DataFrame, edges: DataFrame, scene: str, ratio: str) -> DataFrame:
+    """Scenes with their group: component, visit order, neighbours in the group, size and canonical scene.
+
+    A scene without edges is its own group. The canonical scene is the one of lowest ``ratio``, the first on ties.
+    """
+    found = connected_components(edges).withColumnRenamed("node", scene)
+    out = scenes.join(found, scene, "left").withColumn("component", F.coalesce("component", F.col(scene).cast("long")))
+    by = Window.partitionBy("component")
+    order = by.orderBy(scene)
+    return out.withColumns(
+        {
+            "visit_order": F.row_number().over(order),
+            "previous": F.lag(scene).over(order),
+            "next": F.lead(scene).over(order),
+            "group_size": F.count("*").over(by),
+            "canonical": F.min(F.struct(F.col(ratio).alias("r"), F.col(scene).alias("s"))).over(by)["s"],
+        }
+    )
+
+
+def adjacent_components(rows: DataFrame, keys: list[str], scene: str, merged: str) -> DataFrame:
+    """Components where only neighbours can be joined: runs in which each row is merged with the one before."""
+    by = Window.partitionBy(*keys).orderBy(scene)
+    start = F.when(F.coalesce(F.col(merged), F.lit(False)) & F.lag(scene).over(by).isNotNull(), F.lit(None)).otherwise(F.col(scene))
+    return rows.withColumn("component", F.last(start, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
