@@ -64,14 +64,14 @@ def similar_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = rows.select("conv_id", "turn", "text", before.alias("previous")).filter("previous is not null")
-    a, b = F.left("text", F.lit(200)), F.left("previous", F.lit(200))
+    a, b = (F.regexp_replace(F.left(c, F.lit(200)), r"[^\x00-\x7F]", "_") for c in ("text", "previous"))
     return rows.select("conv_id", "turn", text.similar_claims(F.col("text"), F.col("previous")).alias("similar"), F.round(text.edit_similarity(a, b), 6).alias("alike"), text.text_merge(a, b, 0.3).alias("decision"))
 
 
 SIMILAR = r"""
 with r as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) p from conversations),
 n as (select *, lower(regexp_replace(text, '\s+', '', 'g')) ca, lower(regexp_replace(p, '\s+', '', 'g')) cb, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) ta,
-  list_distinct(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) tb, left(text, 200) a, left(p, 200) b from r where p is not null),
+  list_distinct(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) tb, regexp_replace(left(text, 200), '[^\x00-\x7F]', '_', 'g') a, regexp_replace(left(p, 200), '[^\x00-\x7F]', '_', 'g') b from r where p is not null),
 m as (select *, regexp_replace(lower(a), '[^\p{L}\p{N}]+', '', 'g') na, regexp_replace(lower(b), '[^\p{L}\p{N}]+', '', 'g') nb from n),
 k as (select *, case when greatest(length(na), length(nb)) = 0 then 1.0 else 1 - levenshtein(na, nb) / greatest(length(na), length(nb)) end x from m)
 select conv_id, turn, ca <> '' and cb <> '' and (contains(ca, cb) or contains(cb, ca) or coalesce(len(list_intersect(ta, tb)) / nullif(least(len(ta), len(tb)), 0), 0) >= 0.65) as similar,
