@@ -107,6 +107,13 @@ def complement(cuts: DataFrame, keys: list[str], start: str, end: str, total: st
     return out.withColumn("piece", F.row_number().over(Window.partitionBy(*keys).orderBy("lo")) - 1)
 
 
+def padded(pieces: DataFrame, keys: list[str], pad: float, total: float) -> DataFrame:
+    """Pieces ``lo, hi`` widened by ``pad`` on both sides, within [0, total] and never over the piece before."""
+    before = F.lag("hi").over(Window.partitionBy(*keys).orderBy("lo"))
+    start = F.greatest(F.lit(0.0), F.col("lo") - pad, F.coalesce(F.least(F.lit(total), before + pad), F.lit(0.0)))
+    return pieces.withColumns({"_lo": start, "_hi": F.least(F.lit(total), F.col("hi") + pad)}).withColumns({"lo": F.col("_lo"), "hi": F.col("_hi")}).drop("_lo", "_hi")
+
+
 def time_map(pieces: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     """Where each kept piece lies once the pieces are stitched together: ``offset`` is the time before it."""
     by = Window.partitionBy(*keys).orderBy(lo).rowsBetween(Window.unboundedPreceding, -1)
