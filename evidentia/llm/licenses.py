@@ -85,7 +85,7 @@ def wrapped(phrase: str) -> str:
 
 
 def rules() -> list[Rule]:
-    """The signatures in order: by tier, then as the families stand."""
+    """The signatures in order: by tier, then longer patterns first, then as the families stand."""
     out = []
     for label, names, versions in FAMILIES:
         for name in names.split("|"):
@@ -114,7 +114,7 @@ def rules() -> list[Rule]:
         Rule(HINT, "proprietary", " rights ", " all  rights  reserved "),
         Rule(HINT, "unknown", " license ", f" (?:{_GRANT})  under "),
     ]
-    return sorted(dict.fromkeys(out), key=lambda r: r.tier)
+    return sorted(dict.fromkeys(out), key=lambda r: (r.tier, -len(r.pattern)))
 
 
 def _count(wrapped_words: Column) -> Column:

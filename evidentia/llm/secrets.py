@@ -175,7 +175,7 @@ def find(text: str, most: int = MOST_DECODED) -> tuple[list[tuple[str, int, int,
                 continue
             seen.add(mark)
             left -= len(inner)
-            if left < 0:
+            if left <= 0:
                 complete = False
                 continue
             work.append((inner, way, depth + 1))
