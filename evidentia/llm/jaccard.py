@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm import words
-from evidentia.llm.keys import free_name, maybe_broadcast, smallest_first
+from evidentia.llm.keys import free_name, maybe_broadcast, maybe_in, smallest_first
 from evidentia.operators.graph import connected_components
-from evidentia.sources.session import checkpointed
+from evidentia.sources.session import checkpointed, stored
 
 #: Ratio of the largest to the smallest set size of a band.
 BAND_RATIO = 1.5
@@ -205,8 +205,8 @@ def _prefixes(like: Similarity):
                     if low > d + k:
                         break
                     common = max(1, -(-(d + max(low, d - k) - k) // 2))
-                    rows += [(cluster, min(mine, other), max(mine, other), int(e), int(mine > other), node, star) for e in own[: max(0, d - common + 1)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 7)], ["cluster", "lo", "hi", "element", "side", "node", "star"])
+                    rows += [(cluster, min(mine, other), max(mine, other), int(e), int(mine > other), node, star, at, d, size) for at, e in enumerate(own[: max(0, d - common + 1)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 10)], ["cluster", "lo", "hi", "element", "side", "node", "star", "at", "d", "size"])
 
     return scan
 
@@ -223,7 +223,8 @@ class _Join:
         """``signature, node, tag, low, n`` of every signature that several sets have."""
         signed = self.docs.select("text").mapInArrow(_signed(self.like), "signature long, node long, tag int")
         shared = signed.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").cast("int").alias("n")).filter("low < high").drop("high")
-        return checkpointed(signed.join(shared, "signature").distinct())
+        shared = stored(shared)
+        return stored(maybe_in(signed, shared.select("signature"), "signature").join(shared, "signature").distinct())
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """``node, shingles`` of the named set ids, from one text of each."""
@@ -259,7 +260,8 @@ class _Join:
         Sets that meet in a hot bucket form clusters; a cluster's smallest set is its pivot. Linked sets whose
         differences from it add up to no more than they may differ in are linked with the set of least excess as
         well, which makes a star. All others share a rare difference, and of these the pairs within a star are
-        left out, being in one group already.
+        left out, being in one group already. Met differences are common ones: where they suffice the pair is
+        ``proven``, and where even all after the last one met would not, it is no link.
         """
         hot = checkpointed(members.filter((F.col("n") > HOT) & (F.col("hot") > F.col("slack"))).select("signature", "node"))
         lowest = hot.groupBy("signature").agg(F.min("node").alias("a"))
@@ -278,19 +280,34 @@ class _Join:
         each = apart.select("cluster", "node", "size", "star", F.explode("elements").alias("element"))
         often = each.groupBy("cluster", "element").agg(F.count("*").alias("often"))
         ranked = each.join(often, ["cluster", "element"]).groupBy("cluster", "node", "size", "star").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("ranked"))
-        keys = checkpointed(ranked.select("cluster", "node", "size", "star", F.col("ranked.element").alias("elements")).mapInArrow(_prefixes(like), "cluster long, lo long, hi long, element long, side long, node long, star long"))
+        keys = checkpointed(ranked.select("cluster", "node", "size", "star", F.col("ranked.element").alias("elements")).mapInArrow(_prefixes(like), "cluster long, lo long, hi long, element long, side long, node long, star long, at long, d long, size long"))
         on = ["cluster", "lo", "hi", "element"]
-        one, two = keys.filter("side = 0").select(*on, F.col("node").alias("a"), F.col("star").alias("star_a")), keys.filter("side = 1 or lo = hi").select(*on, F.col("node").alias("b"), F.col("star").alias("star_b"))
-        met = one.join(two, on).filter("star_a * star_b = 0 and (a < b or (lo < hi and a <> b))").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return met.unionByName(stars).distinct()
+        ends = lambda x: F.struct("node", "star", "d", "size", "at").alias(x)
+        one, two = keys.filter("side = 0").select(*on, ends("x")), keys.filter("side = 1 or lo = hi").select(*on, ends("y"))
+        met = one.join(two, on).filter("x.star * y.star = 0 and (x.node < y.node or (lo < hi and x.node <> y.node))")
+        met = met.select(
+            F.col("x.node").alias("a"),
+            F.col("y.node").alias("b"),
+            (F.col("x.d") + F.col("y.d")).alias("apart"),
+            (F.col("x.size") + F.col("y.size")).alias("sizes"),
+            (F.col("x.d") - 1 - F.col("x.at")).alias("left_a"),
+            (F.col("y.d") - 1 - F.col("y.at")).alias("left_b"),
+        )
+        told = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("apart").alias("apart"), F.max("sizes").alias("sizes"), F.min("left_a").alias("left_a"), F.min("left_b").alias("left_b"))
+        allowed = F.floor(F.lit(100 - like.percent) * F.col("sizes") / (100 + like.percent))
+        told = told.withColumn("needed", F.ceil((F.col("apart") - allowed) / 2)).filter(F.col("met") + F.least("left_a", "left_b") >= F.col("needed"))
+        told = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("met") >= F.col("needed")).alias("proven")).distinct()
+        return told.unionByName(stars.select("a", "b", F.lit(True).alias("proven")))
 
     def components(self) -> DataFrame:
         """``node, component`` of every set that is linked with another one."""
         members = self.members().withColumns({"band": F.floor(F.col("tag") / 4096).cast("int"), "slack": F.col("tag") % 4096})
         hot = members.filter(F.col("n") > HOT).groupBy("node", "band").agg(F.count("*").alias("hot"))
         members = checkpointed(members.join(hot, ["node", "band"], "left").withColumn("hot", F.coalesce("hot", F.lit(0))).drop("tag", "low"))
-        pairs = self.cold_pairs(members).unionByName(self.hot_pairs(members)).distinct()
-        return connected_components(self.links(checkpointed(pairs)))
+        hot = checkpointed(self.hot_pairs(members))
+        proven = hot.filter("proven").select("a", "b")
+        pairs = checkpointed(self.cold_pairs(members).unionByName(hot.filter("not proven").select("a", "b")).distinct().join(proven, ["a", "b"], "left_anti"))
+        return connected_components(proven.unionByName(self.links(pairs)))
 
 
 def groups(docs: DataFrame, like: Similarity) -> DataFrame:

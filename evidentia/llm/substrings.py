@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import words
-from evidentia.llm.keys import maybe_broadcast, smallest_first
-from evidentia.sources.session import checkpointed
+from evidentia.llm.keys import maybe_broadcast, maybe_in, smallest_first
+from evidentia.sources.session import checkpointed, stored
 
 # A difference cover of 31; every residue is a difference of two of its places, exactly one way.
 COVER = (0, 1, 3, 8, 12, 18)
@@ -32,20 +33,28 @@ def _cover_places(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return start[chosen], doc[chosen]
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, since they are about to be shuffled."""
+    for batch in batches:
+        packer = zstandard.ZstdCompressor(level=1)
+        packs = [packer.compress(text.as_py() or b"") for text in batch.column("text").cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("place"), pa.array(packs, pa.binary())], ["row_key", "place", "pack"])
+
+
 def _anchors(width: int):
     """Anchor hashes of texts of at least one window; ``width`` words a window."""
     size = width - PERIOD + 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = batch.column("row_key").to_numpy(), batch.column("place").to_numpy()
+            ids = batch.column("place").to_numpy()
             for part in words.slices(batch.column("text"), words.BLANK_SPLIT):
                 start, doc = _cover_places(part.first, size)
                 long = np.diff(part.first)[doc] >= width
                 start, doc = start[long], part.lo + doc[long]
                 hashes = words.runs(part.hashes, size, _ANCHOR_BASE)[start].view(np.int64)
                 pairs = np.unique(np.stack([doc, hashes], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[pairs[:, 0]]), pa.array(ids[pairs[:, 0]]), pa.array(pairs[:, 1])], ["row_key", "place", "anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(pairs[:, 1])], ["place", "anchor"])
 
     return scan
 
@@ -57,7 +66,9 @@ def _windows(width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, ids, shared = batch.column("row_key").to_numpy(), batch.column("place").to_numpy(), batch.column("anchors")
-            for part in words.slices(batch.column("text"), words.BLANK_SPLIT):
+            unpack = zstandard.ZstdDecompressor()
+            texts = pa.array([unpack.decompress(x.as_py()) for x in batch.column("pack")], pa.large_binary())
+            for part in words.slices(texts, words.BLANK_SPLIT):
                 places, doc = _cover_places(part.first, size)
                 hashes = words.runs(part.hashes, size, _ANCHOR_BASE)[places].view(np.int64)
                 marks = np.zeros(len(part.hashes) + 1, np.int32)
@@ -131,12 +142,15 @@ def repeated_ranges(docs: DataFrame, width: int = 50) -> DataFrame:
     too, so no group of copies meets in one task, and the join back can be split.
     """
     texts = docs.select("row_key", "place", "text")
-    anchors = texts.mapInArrow(_anchors(width), "row_key long, place long, anchor long")
+    anchors = texts.mapInArrow(_anchors(width), "place long, anchor long")
     shared = anchors.groupBy("anchor").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low < high").select("anchor")
-    held = anchors.select("row_key", "anchor").join(shared, "anchor").groupBy("row_key").agg(F.collect_set("anchor").alias("anchors"))
-    windows = checkpointed(texts.join(held, "row_key").select("row_key", "place", "anchors", "text").mapInArrow(_windows(width), "row_key long, place long, at int, h1 long, h2 long"))
+    shared = stored(shared)
+    held = maybe_in(anchors, shared, "anchor").join(shared, "anchor").groupBy("place").agg(F.collect_set("anchor").alias("anchors"))
+    packs = texts.mapInArrow(_packed, "row_key long, place long, pack binary").join(held, "place")
+    windows = stored(packs.select("row_key", "place", "anchors", "pack").mapInArrow(_windows(width), "row_key long, place long, at int, h1 long, h2 long"))
     low = windows.groupBy("h1", "h2").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low < high").drop("high")
-    starts = windows.join(low, ["h1", "h2"]).filter("low < place").groupBy("row_key").agg(F.collect_list("at").alias("starts"))
+    low = stored(low)
+    starts = maybe_in(windows, low.select("h1"), "h1").join(low, ["h1", "h2"]).filter("low < place").groupBy("row_key").agg(F.collect_list("at").alias("starts"))
     return starts.mapInArrow(_ranges(width), "row_key long, bounds array<long>")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _LONG_WORD = 256
 
 
@@ -56,11 +56,11 @@ class Slice:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and each text's bounds in them; null counts as empty."""
+    """The bytes of a string or binary column and each text's bounds in them; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if column.null_count:
         column = pc.fill_null(column, "")
-    column = column.cast(pa.large_string())
+    column = column if pa.types.is_large_binary(column.type) else column.cast(pa.large_string())
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
