@@ -21,7 +21,7 @@ def connection(folder: str) -> duckdb.DuckDBPyConnection:
 
 def comparable(df: pd.DataFrame) -> list[tuple[str, ...]]:
     def plain(x: object) -> str:
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return "null"
         if isinstance(x, float):
             return repr(round(x, 6) + 0.0)
