@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import product
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,7 +149,8 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     low = F.lower(text)
     gate = low.contains("licen") | low.contains("spdx") | low.contains("cc0") | low.contains("rights") | low.contains("domain") | low.contains("commons")
     gate = gate | (low.contains("cc") & low.rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by")) | low.contains("unlicense")
-    norm = F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ")), F.lit(" ")))
+    folded = F.translate(text, ascii_uppercase, ascii_lowercase)
+    norm = F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ")), F.lit(" ")))
     docs = docs.select("doc_id", F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), norm.alias("norm"))
 
     words = sorted({r.keyword for r in signatures})

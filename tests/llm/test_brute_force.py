@@ -188,6 +188,12 @@ def test_license_overlaps(spark):
     assert got == {1: (1, 3, "apache-2", "apache-2", 0.95), 2: (0, None, "", "gpl-3", 1.0), 3: (2, 2, "cc-by-nc", "cc-by-nc,cc-by-nc-sa-4", 0.9), 4: (0, None, "", "", 0.0)}
 
 
+def test_licenses_fold_ascii_only(spark):
+    rows = [(1, "under the BERKELEY software distribution license"), (2, "under the ber\u212aeley software distribution license")]
+    got = {r.doc_id: r.labels for r in licenses.labelled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "bsd", 2: ""}
+
+
 def test_classifier_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
