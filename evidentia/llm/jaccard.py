@@ -194,7 +194,7 @@ def _prefixes(like: Similarity):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[int, ...]] = []
-            for cluster, node, size, star, elements in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
+            for cluster, node, size, known, elements in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
                 own, d = np.array(elements.values), len(elements)
                 k = (100 - like.percent) * (size + like.largest_partner(size)) // (100 + like.percent)
                 mine = int(np.searchsorted(_CLASSES, d, side="right")) - 1
@@ -205,8 +205,8 @@ def _prefixes(like: Similarity):
                     if low > d + k:
                         break
                     common = max(1, -(-(d + max(low, d - k) - k) // 2))
-                    rows += [(cluster, min(mine, other), max(mine, other), int(e), int(mine > other), node, star, at, d, size) for at, e in enumerate(own[: max(0, d - common + 1)])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 10)], ["cluster", "lo", "hi", "element", "side", "node", "star", "at", "d", "size"])
+                    rows += [(cluster, min(mine, other), max(mine, other), int(e), int(mine > other), node, known, at, d, size) for at, e in enumerate(own[: max(0, d - common + 1)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 10)], ["cluster", "lo", "hi", "element", "side", "node", "known", "at", "d", "size"])
 
     return scan
 
@@ -254,16 +254,33 @@ class _Join:
         pairs = one.join(two, "signature").filter("a < b").groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need"))
         return pairs.filter("n >= need").select("a", "b").distinct()
 
+    def near_links(self, hot: DataFrame) -> DataFrame:
+        """Links, checked on whole sets, between each hot set and one that stands for its buckets.
+
+        In each bucket the set with most hot buckets stands for all, and in a second turn the first by hash. A set
+        is checked against the one that stands for most of its buckets, so there are two pairs a set at most, and
+        a large group of near copies is mostly one group before any of its pairs are formed.
+        """
+        turns = [F.struct("hot", "node"), F.struct(F.xxhash64("node").alias("hot"), "node")]
+        pairs = []
+        for order in turns:
+            stands = hot.groupBy("signature").agg(F.max(order)["node"].alias("first"))
+            votes = hot.join(stands, "signature").filter("node <> first").groupBy("node", "first").agg(F.count("*").alias("votes"))
+            best = votes.groupBy("node").agg(F.max(F.struct("votes", "first"))["first"].alias("first"))
+            pairs.append(best.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")))
+        return self.links(checkpointed(pairs[0].unionByName(pairs[1]).distinct()))
+
     def hot_pairs(self, members: DataFrame) -> DataFrame:
         """Candidates among the sets that may share hot buckets only.
 
         Sets that meet in a hot bucket form clusters; a cluster's smallest set is its pivot. Linked sets whose
         differences from it add up to no more than they may differ in are linked with the set of least excess as
-        well, which makes a star. All others share a rare difference, and of these the pairs within a star are
-        left out, being in one group already. Met differences are common ones: where they suffice the pair is
-        ``proven``, and where even all after the last one met would not, it is no link.
+        well, which makes a star. All others share a rare difference. Stars and ``near_links`` make groups that are
+        ``known`` by now: pairs within one are left out, and so is a difference that only one of them has. Met
+        differences are common ones: where they suffice the pair is ``proven``, and where even all after the last
+        one met would not, it is no link.
         """
-        hot = checkpointed(members.filter((F.col("n") > HOT) & (F.col("hot") > F.col("slack"))).select("signature", "node"))
+        hot = checkpointed(members.filter((F.col("n") > HOT) & (F.col("hot") > F.col("slack"))).select("signature", "node", "hot"))
         lowest = hot.groupBy("signature").agg(F.min("node").alias("a"))
         clusters = connected_components(hot.join(lowest, "signature").select("a", F.col("node").alias("b")).filter("a <> b").distinct())
         clusters = checkpointed(clusters.select(F.col("component").alias("cluster"), "node"))
@@ -276,15 +293,19 @@ class _Join:
         least = excess.groupBy("cluster").agg(F.min(F.struct("excess", "node")).alias("least"))
         excess = checkpointed(excess.join(least, "cluster").select("cluster", "node", (F.col("excess") + F.col("least.excess") <= 0).cast("long").alias("star"), F.col("least.node").alias("centre")))
         stars = excess.filter("star = 1 and node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        apart = apart.join(excess.drop("centre"), ["cluster", "node"])
-        each = apart.select("cluster", "node", "size", "star", F.explode("elements").alias("element"))
+        links = checkpointed(self.near_links(hot).unionByName(stars).distinct())
+        known = connected_components(links).withColumnRenamed("component", "known")
+        apart = apart.join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
+        each = apart.select("cluster", "node", "size", "known", F.explode("elements").alias("element"))
         often = each.groupBy("cluster", "element").agg(F.count("*").alias("often"))
-        ranked = each.join(often, ["cluster", "element"]).groupBy("cluster", "node", "size", "star").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("ranked"))
-        keys = checkpointed(ranked.select("cluster", "node", "size", "star", F.col("ranked.element").alias("elements")).mapInArrow(_prefixes(like), "cluster long, lo long, hi long, element long, side long, node long, star long, at long, d long, size long"))
+        ranked = each.join(often, ["cluster", "element"]).groupBy("cluster", "node", "size", "known").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("ranked"))
+        keys = stored(ranked.select("cluster", "node", "size", "known", F.col("ranked.element").alias("elements")).mapInArrow(_prefixes(like), "cluster long, lo long, hi long, element long, side long, node long, known long, at long, d long, size long"))
         on = ["cluster", "lo", "hi", "element"]
-        ends = lambda x: F.struct("node", "star", "d", "size", "at").alias(x)
+        several = keys.groupBy(*on).agg(F.min("known").alias("low"), F.max("known").alias("high")).filter("low < high").select(*on)
+        keys = stored(keys.join(several, on, "left_semi"))
+        ends = lambda x: F.struct("node", "known", "d", "size", "at").alias(x)
         one, two = keys.filter("side = 0").select(*on, ends("x")), keys.filter("side = 1 or lo = hi").select(*on, ends("y"))
-        met = one.join(two, on).filter("x.star * y.star = 0 and (x.node < y.node or (lo < hi and x.node <> y.node))")
+        met = one.join(two, on).filter("x.known <> y.known and (x.node < y.node or (lo < hi and x.node <> y.node))")
         met = met.select(
             F.col("x.node").alias("a"),
             F.col("y.node").alias("b"),
@@ -297,7 +318,7 @@ class _Join:
         allowed = F.floor(F.lit(100 - like.percent) * F.col("sizes") / (100 + like.percent))
         told = told.withColumn("needed", F.ceil((F.col("apart") - allowed) / 2)).filter(F.col("met") + F.least("left_a", "left_b") >= F.col("needed"))
         told = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("met") >= F.col("needed")).alias("proven")).distinct()
-        return told.unionByName(stars.select("a", "b", F.lit(True).alias("proven")))
+        return told.unionByName(links.select("a", "b", F.lit(True).alias("proven")))
 
     def components(self) -> DataFrame:
         """``node, component`` of every set that is linked with another one."""
