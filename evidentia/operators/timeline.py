@@ -110,7 +110,7 @@ def complement(cuts: DataFrame, keys: list[str], start: str, end: str, total: st
 def padded(pieces: DataFrame, keys: list[str], pad: float, total: float) -> DataFrame:
     """Pieces ``lo, hi`` widened by ``pad`` on both sides, within [0, total] and never over the piece before."""
     before = F.lag("hi").over(Window.partitionBy(*keys).orderBy("lo"))
-    start = F.greatest(F.lit(0.0), F.col("lo") - pad, F.coalesce(F.least(F.lit(total), before + pad), F.lit(0.0)))
+    start = F.greatest(F.lit(0.0), F.col("lo") - pad, F.coalesce(F.when(before.isNotNull(), F.least(F.lit(total), before + pad)), F.lit(0.0)))
     return pieces.withColumns({"_lo": start, "_hi": F.least(F.lit(total), F.col("hi") + pad)}).withColumns({"lo": F.col("_lo"), "hi": F.col("_hi")}).drop("_lo", "_hi")
 
 
@@ -170,13 +170,13 @@ def context_groups(rows: DataFrame, keys: list[str], order: list[str], chars: st
 
 
 def spaced(rows: DataFrame, keys: list[str], at: str, least: float) -> DataFrame:
-    """Rows in order, less those within ``least`` of the last one kept; greedy, so by key in one sorted pass."""
+    """Rows in order, less those within ``least`` (to nine digits) of the last one kept; greedy, so by key in one sorted pass."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         last, held = None, []
         pdf = pdf.sort_values(list(pdf.columns))
         for value in pdf[at]:
-            ok = last is None or value - last > least
+            ok = last is None or round(value - last, 9) > least
             held.append(ok)
             last = value if ok else last
         return pdf[held]
