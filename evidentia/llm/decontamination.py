@@ -92,11 +92,12 @@ def _shard_hits(symbols: np.ndarray, first: np.ndarray, phrases: Phrases) -> tup
     return place[index.locate(rows)], which
 
 
-def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _merged(starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges that overlap or touch become one, but never across two documents, which stand side by side."""
     by = np.argsort(starts, kind="stable")
-    starts, reach = starts[by], np.maximum.accumulate(ends[by])
+    starts, reach, doc = starts[by], np.maximum.accumulate(ends[by]), doc[by]
     new = np.ones(len(starts), bool)
-    new[1:] = starts[1:] > reach[:-1]
+    new[1:] = (starts[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
     heads = np.flatnonzero(new)
     return starts[heads], reach[np.append(heads[1:], len(starts)) - 1]
 
@@ -133,7 +134,7 @@ def _shard_rows(shard: list[tuple[int, np.ndarray, np.ndarray]], phrases: Phrase
     rows: list[tuple[int, list, list]] = [(int(n), [], []) for n in counts]
     if len(starts):
         doc = np.searchsorted(first, starts, side="right") - 1
-        lo, hi = _merged(starts, starts + phrases.lengths[which])
+        lo, hi = _merged(starts, starts + phrases.lengths[which], doc)
         for d, a, b in zip(np.searchsorted(first, lo, side="right") - 1, lo, hi, strict=True):
             rows[d][1].append({"lo": int(a - first[d]), "hi": int(b - first[d])})
         owned: dict[int, set[int]] = {}
