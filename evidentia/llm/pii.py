@@ -21,7 +21,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
@@ -35,6 +36,30 @@ _FOR = {
     "iban": ("iban", "account", "bank", "compte", "konto", "cuenta"),
     "ssn": ("ssn", "social", "security"),
 }
+# Characters of an account number by country (ISO 13616 and countries that use its form).
+_IBAN_CHARS = {
+    country: chars
+    for chars, countries in {
+        15: "NO",
+        16: "BE",
+        18: "DK FI FK FO GL NL SD",
+        19: "MK SI",
+        20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST",
+        26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA",
+        30: "JO KW MU YE",
+        31: "MT SC",
+        33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _AGAINST = {"ip": ("version", "release", "section"), "card": ("order", "invoice", "isbn", "serial"), "ssn": ("part", "order", "serial"), "phone": ("order", "serial")}
 
 
@@ -74,6 +99,27 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's length; of a country without a known one, the longest that passes the check."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        start, at, chars, ends = m.start(), m.end(), 4, []
+        rest = _IBAN_REST.match(text, at) if start >= done else None
+        if not rest:
+            continue
+        length = _IBAN_CHARS.get(text[start : start + 2])
+        while at < rest.end():
+            at += 1 + (text[at] == " ")
+            chars += 1
+            if chars >= 15 and (chars == length or not length) and not (text[at : at + 1].isascii() and text[at : at + 1].isalnum()):
+                ends.append(at)
+        for end in reversed(ends):
+            if mod97(text[start:end]):
+                yield start, end
+                done = end
+                break
+
+
 def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     for start, end in _emails(text):
         yield "email", start, end
@@ -89,9 +135,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _PHONE.finditer(text):
         if 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
             yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for m in _SSN.finditer(text):
         yield "ssn", *m.span()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.llm import decontamination
+from evidentia.llm import decontamination, pii
 
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
 OTHER = "lambda mu nu xi omicron pi rho sigma tau upsilon"
@@ -16,3 +16,17 @@ def test_spans_stay_within_their_document(spark):
     assert got == {1: ([(0, 10)], ["a"]), 2: ([(0, 10)], ["b"]), 3: ([], []), 4: ([(1, 11)], ["a"]), 5: ([(0, 20)], ["a", "b"])}
     cut = {r.doc_id: r.text for r in decontamination.decontaminate(docs, items).collect()}
     assert cut == {1: "", 2: "", 3: "", 4: "own ", 5: " own"}
+
+
+def test_account_numbers_end_where_their_country_says():
+    def ibans(text: str) -> list[str]:
+        return [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"]
+
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    for own in (de, gb, no):
+        for tail in ("", " BIC COBADEFF", " EUR 20", " 2026 AND MORE WORDS IN CAPITALS", " ok", ".", "é"):
+            assert ibans(f"IBAN {own}{tail}") == [own]
+            assert ibans(f"IBAN {own.replace(' ', '')}{tail}") == [own.replace(" ", "")]
+    assert ibans(f"REF AB12 NUMBER {de} {gb} BIC WESTGB2L") == [de, gb]
+    assert ibans(f"{de}X {de}9 IBAN DE88 3704 0044 0532 0130 00 BIC") == []
+    assert ibans("IBAN ZZ22 3704 0044 0532 0130 00 EUR") == ["ZZ22 3704 0044 0532 0130 00"]
