@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import words
@@ -331,17 +331,22 @@ class _Join:
         return connected_components(proven.unionByName(self.links(pairs)))
 
 
-def groups(docs: DataFrame, like: Similarity) -> DataFrame:
-    """``row_key, place, n_shingles, component`` of each row; ``component`` is the smallest ``place`` it is linked with.
+def linked(docs: DataFrame, like: Similarity) -> DataFrame:
+    """``row_key, place, n_shingles, set`` of each row; ``set`` is one set id for all sets that are linked, null for empty ones.
 
     ``docs`` has ``row_key`` (unique), ``place`` (the order of documents) and ``text``. Equal sets are one set from
     the start, so copies cost no more than their row. Empty sets are linked with nothing.
     """
     join = _Join(docs, like)
-    nodes = join.rows.join(join.components(), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    nodes = nodes.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")))
-    lowest = nodes.filter("component is not null").groupBy("component").agg(F.min("place").alias("low"))
-    return nodes.join(lowest, "component", "left").select("row_key", "place", "n_shingles", F.coalesce("low", "place").alias("component"))
+    nodes = join.rows.join(join.components(), "node", "left")
+    return nodes.select("row_key", "place", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("set"))
+
+
+def groups(docs: DataFrame, like: Similarity) -> DataFrame:
+    """``row_key, place, n_shingles, component`` of each row; ``component`` is the smallest ``place`` it is linked with."""
+    nodes = linked(docs, like)
+    lowest = nodes.filter("set is not null").groupBy("set").agg(F.min("place").alias("low"))
+    return nodes.join(lowest, "set", "left").select("row_key", "place", "n_shingles", F.coalesce("low", "place").alias("component"))
 
 
 def similar(docs: DataFrame, like: Similarity) -> DataFrame:
@@ -359,15 +364,15 @@ def similar(docs: DataFrame, like: Similarity) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, like: Similarity) -> DataFrame:
-    """The rows of ``docs`` that are first by id in their group, with all their columns; of repeated ids one row stays.
+    """The rows of ``docs`` that are first by id in their group, with all their columns.
 
-    Rows with empty sets are groups of their own.
+    Groups are told by their texts alone: unlike texts stay, whether their ids are null, repeated or neither. Of
+    rows that repeat both id and text one stays. Rows with empty sets are groups of their own.
     """
     key = free_name(docs.columns, "row_key")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     rows = keyed.select(F.col(key).alias("row_key"), smallest_first().alias("place"), F.col("text").cast("string").alias("text"))
-    found = groups(rows, like)
-    order = Window.partitionBy("component", F.when(F.col("n_shingles") == 0, F.col("row_key"))).orderBy("place", "row_key")
-    first = found.filter("place = component").withColumn("nr", F.row_number().over(order)).filter("nr = 1").select(F.col("row_key").alias(key))
+    own = F.when(F.col("n_shingles") == 0, F.col("row_key")).alias("own")
+    first = linked(rows, like).groupBy("set", own).agg(F.min(F.struct("place", "row_key"))["row_key"].alias(key)).select(key)
     kept = keyed.join(maybe_broadcast(checkpointed(first)), key, "left_semi")
     return kept.dropDuplicates([key]).drop(key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.llm import decontamination, pii
+from evidentia.llm import decontamination, jaccard, pii
 
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
 OTHER = "lambda mu nu xi omicron pi rho sigma tau upsilon"
@@ -30,3 +30,15 @@ def test_account_numbers_end_where_their_country_says():
     assert ibans(f"REF AB12 NUMBER {de} {gb} BIC WESTGB2L") == [de, gb]
     assert ibans(f"{de}X {de}9 IBAN DE88 3704 0044 0532 0130 00 BIC") == []
     assert ibans("IBAN ZZ22 3704 0044 0532 0130 00 EUR") == ["ZZ22 3704 0044 0532 0130 00"]
+
+
+def test_one_of_each_text_whatever_its_id(spark):
+    base = " ".join(f"t{k}" for k in range(200))
+    rows = [(None, base), (None, base.replace("t50 ", "zz ")), (None, "these words stand alone here"), (None, "and so do all of these"), (None, "and so do all of these"), (None, "")]
+    rows += [(7, "one text of a repeated id"), (7, "quite another of the same one"), (7, "copied words of two ids here"), (9, "copied words of two ids here"), (3, "linked with a null id now"), (None, "linked with a null id now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in jaccard.one_of_each(docs, jaccard.Similarity()).collect()]
+    whole = [x for x in got if x[1] and x[1].startswith("t0 ")]
+    assert len(whole) == 1 and whole[0] in rows[:2]
+    want = {rows[2], rows[3], rows[5], rows[6], rows[7], rows[8], rows[10]}
+    assert len(got) == 8 and set(got) == want | set(whole)
