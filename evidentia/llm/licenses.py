@@ -68,6 +68,7 @@ SPDX, GRANT, VERSIONED, NAMED, HINT = range(5)
 CONFIDENCE = (1.0, 0.95, 0.9, 0.7, 0.3)
 #: Confidence of a base phrase.
 BASE_CONFIDENCE = 0.9
+_BLANK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _GRANT = "licensed|released|distributed|available|provided|published|covered|governed"
 
 
@@ -135,20 +136,26 @@ def _places(norm: Column, pattern: Column) -> Column:
     return F.aggregate(pairs, start, step)["done"]
 
 
+def _gate(phrases: list[str]) -> str:
+    """A pattern for lower-cased texts that have any of the phrases; no rule matches without its keyword."""
+    by: dict[str, list[str]] = {}
+    for phrase in sorted({tuple(p.split()) for p in phrases}):
+        by.setdefault(phrase[0][0], []).append(f"{_BLANK}+".join(phrase)[1:])
+    return f"(?:^|{_BLANK})(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + f")(?:{_BLANK}|$)"
+
+
 def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     """``doc_id, n_words, base, hits`` for each row.
 
     ``base`` lists each base phrase's places, ``hits`` the detections left over: ``array<struct<tier,label,lo,hi>>``,
     word ranges ``[lo, hi)``. Of two detections the later rule's goes if the earlier one's range contains it; equal
-    ranges of one tier stay with the rule that is listed first. A text is read whole; only texts with a word of
-    the prefilter are rewritten and only rules whose keyword stands in the text are tried. Null texts are empty,
+    ranges of one tier stay with the rule that is listed first. A text is read whole; only texts with a
+    rule's keyword or a base phrase are rewritten and only rules whose keyword stands in the text are tried. Null texts are empty,
     repeated rows are judged alike, an empty table gives no rows.
     """
     signatures = rules() if signatures is None else signatures
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    low = F.lower(text)
-    gate = low.contains("licen") | low.contains("spdx") | low.contains("cc0") | low.contains("rights") | low.contains("domain") | low.contains("commons")
-    gate = gate | (low.contains("cc") & low.rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by")) | low.contains("unlicense")
+    gate = F.lower(text).rlike(_gate([r.keyword for r in signatures] + [phrase for phrase, _ in BASE]))
     folded = F.translate(text, ascii_uppercase, ascii_lowercase)
     norm = F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ")), F.lit(" ")))
     docs = docs.select("doc_id", F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), norm.alias("norm"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.llm import decontamination, jaccard, pii
+from evidentia.llm import decontamination, jaccard, licenses, pii
 
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
 OTHER = "lambda mu nu xi omicron pi rho sigma tau upsilon"
@@ -42,3 +42,20 @@ def test_one_of_each_text_whatever_its_id(spark):
     assert len(whole) == 1 and whole[0] in rows[:2]
     want = {rows[2], rows[3], rows[5], rows[6], rows[7], rows[8], rows[10]}
     assert len(got) == 8 and set(got) == want | set(whole)
+
+
+def test_each_license_rule_alone_in_a_text(spark):
+    said = ["Distributed under the GNU GPL v 3", "released under the terms of the MPL 2.0", "Apache 2.0", "LGPL version 2.1", "PROVIDED UNDER ISC", "cc-by-sa/4.0", "no terms here", "commit, accept"]
+    want = ["gpl-3", "mpl-2", "apache-2", "lgpl-2.1", "isc", "cc-by-sa-4", "", ""]
+    own = licenses.rules()
+    samples = []
+    for r in own:
+        text = r.pattern
+        for some, one in ((f"(?:{licenses._GRANT})", "released"), ("(?: license | licence )?", ""), ("(?: license | licence )", " license "), ("(?: version | v )?", ""), ("(?: terms  of  the )?", ""), ("(?: the )?", ""), ("(?: license )?", ""), ("(?: 1  0 )?", "")):
+            text = text.replace(some, one)
+        samples.append(text.replace("(?:dedicated|released|placed)", "placed").replace("(?:to|into|in)", "in") + (r.keyword if r.label == "unknown" else ""))
+    assert not [x for x in samples if "(" in x]
+    docs = spark.createDataFrame([(k, " ".join(x.split())) for k, x in enumerate([*said, *samples])], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.labelled(docs).collect()}
+    assert [got[k][0] for k in range(len(said))] == want
+    assert not [(r, got[len(said) + k]) for k, r in enumerate(own) if got[len(said) + k][1] < licenses.CONFIDENCE[r.tier]]
