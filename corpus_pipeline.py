@@ -17,23 +17,30 @@ LEAST_QUALITY = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels that aren't held out, doesn't reject."""
+    """Documents that the classifier, fitted on the labels that aren't held out, doesn't reject.
+
+    Null and empty texts are judged as texts without words, repeated rows alike, ids don't matter; an empty table
+    gives no rows, all columns stay.
+    """
     model = classifier.fit(docs, table(spark, sf_dir, "labels"))
     return classifier.kept(docs, model, LEAST_QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are 80 % alike: the first by id."""
+    """One document of each group whose sets of five-word shingles are 80 % alike: the first by id.
+
+    Texts without words are groups of their own, null ids come last, of ties and repeated rows one stays.
+    """
     return jaccard.one_of_each(docs, jaccard.Similarity(5, 80))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the words of ten-word benchmark windows."""
+    """Documents less the words of ten-word benchmark windows; no row goes, null texts stay null, copies are cut alike."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), 10)
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets masked."""
+    """Documents with secrets masked; no row goes, null texts stay null, copies are masked alike."""
     return secrets.redact(docs)
 
 
