@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from evidentia.sources.session import checkpointed
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of each node that has an edge.
 
     ``edges`` has two long columns ``a`` and ``b``; direction, repeats and self loops don't matter, rows with a
     null end are ignored. Returns ``node, component``. Alternating large-star and small-star rounds: each is two
     aggregations with map-side combine and one equi-join that adaptive execution can split, so a node with very
     many neighbours never meets in one task. Every round is checkpointed, so plans stay short and a lost
-    executor costs one round at most. No edges give no rows.
+    executor costs one round at most. Rounds go on until nothing changes. No edges give no rows.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     edges = edges.filter("a is not null and b is not null and a <> b")
     links = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     size = None
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Where the setting is absent (a local run, tests) a folder of this process is used.
+    Where the setting is absent a local run (tests) uses a folder of this process; a cluster has no such folder that
+    all would see, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = os.path.join(tempfile.gettempdir(), f"evidentia-checkpoints-{os.getpid()}")
     return f"file://{local}"
 
