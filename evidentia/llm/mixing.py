@@ -64,8 +64,10 @@ def _shared(nodes: DataFrame, parent: list[str], own: str) -> DataFrame:
 
     Nodes are taken by rising cap per weight. While a node's cap is within its part of what is left, it is full
     and the rest goes to its siblings; from the first node on that can hold its part, all get it by weight,
-    rounded down.
+    rounded down. A node of weight 0 gets nothing.
     """
+    none = nodes.filter("weight = 0").withColumn("budget", F.lit(0).cast("long")).drop("total", "weight")
+    nodes = nodes.filter("weight > 0")
     by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
     order = by.orderBy((F.col("cap") / F.col("weight")).asc(), F.col(own).asc())
     nodes = nodes.withColumns(
@@ -78,7 +80,7 @@ def _shared(nodes: DataFrame, parent: list[str], own: str) -> DataFrame:
     nodes = nodes.withColumn("full", full)
     nodes = nodes.withColumns({"taken": F.min(F.when(~F.col("full"), F.col("before"))).over(by), "open": F.max(F.when(~F.col("full"), F.col("weights"))).over(by)})
     part = F.expr("(weight * (total - taken)) div open")
-    return nodes.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(part).cast("long")).drop("before", "weights", "full", "taken", "open", "total", "weight")
+    return nodes.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(part).cast("long")).drop("before", "weights", "full", "taken", "open", "total", "weight").unionByName(none)
 
 
 def budgets(sizes: DataFrame, mix: Mix, total: int) -> DataFrame:
