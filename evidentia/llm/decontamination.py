@@ -17,10 +17,12 @@ from evidentia.llm.keys import maybe_broadcast
 from evidentia.sources.session import checkpointed
 
 #: Characters of benchmark texts that one search block holds; more items take more blocks, never a cut.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
+#: Texts whose spans may be sent to every task (a digest and a few bounds each); more take a join that shuffles.
+BROADCAST_TEXTS = 100_000
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _FOLD = {i: i + 32 for i in range(65, 91)}
-_FOUND = "row_key long, doc_id long, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
+_FOUND = "doc_id long, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
 
 
 class Phrases:
@@ -161,6 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_cha
     64-bit hashes.
     """
     docs = docs.select("row_key", "doc_id", "text")
+    found_as = f"row_key {docs.schema['row_key'].dataType.simpleString()}, {_FOUND}"
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(chars) // block_chars))
@@ -168,7 +171,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_cha
     for block in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         phrases = Phrases([(r.item_id, r.text) for r in own.collect()], width)
-        found.append(docs.mapInArrow(_scan(phrases), _FOUND))
+        found.append(docs.mapInArrow(_scan(phrases), found_as))
     if blocks == 1:
         return found[0]
     every = found[0]
@@ -202,12 +205,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     """The documents with every benchmark span cut out of ``text``; other columns and all rows stay.
 
     ``n_chars``, where there is one, is set to the new length. Rows are as in :func:`find_leaks`; only texts with
-    spans meet the cut, the rest pass through Arrow once.
+    spans meet the cut, the rest pass through Arrow once. Spans depend on the text alone, so they are joined back by
+    its digest, which a recomputed task can't number otherwise. Null texts stay null, copies are cut alike.
     """
-    wide = docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    wide = docs.select(F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = find_leaks(wide.select("row_key", F.lit(None).cast("long").alias("doc_id"), F.col("row.text").alias("text")), benchmark, width)
-    found = found.filter(F.size("spans") > 0).select("row_key", "spans")
-    wide = wide.join(maybe_broadcast(checkpointed(found)), "row_key", "left")
+    found = found.filter(F.size("spans") > 0).select("row_key", "spans").dropDuplicates(["row_key"])
+    wide = wide.join(maybe_broadcast(checkpointed(found), BROADCAST_TEXTS), "row_key", "left")
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.pandas_udf(_cut, "string")("row.text", "spans"))
     out = wide.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
     if "n_chars" in docs.columns:
