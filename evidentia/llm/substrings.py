@@ -47,14 +47,14 @@ def _anchors(width: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("place").to_numpy()
+            keys, ids = batch.column("row_key").to_numpy(), batch.column("place").to_numpy()
             for part in words.slices(batch.column("text"), words.BLANK_SPLIT):
                 start, doc = _cover_places(part.first, size)
                 long = np.diff(part.first)[doc] >= width
                 start, doc = start[long], part.lo + doc[long]
                 hashes = words.runs(part.hashes, size, _ANCHOR_BASE)[start].view(np.int64)
                 pairs = np.unique(np.stack([doc, hashes], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(pairs[:, 1])], ["place", "anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[pairs[:, 0]]), pa.array(ids[pairs[:, 0]]), pa.array(pairs[:, 1])], ["row_key", "place", "anchor"])
 
     return scan
 
@@ -142,11 +142,11 @@ def repeated_ranges(docs: DataFrame, width: int = 50) -> DataFrame:
     too, so no group of copies meets in one task, and the join back can be split.
     """
     texts = docs.select("row_key", "place", "text")
-    anchors = texts.mapInArrow(_anchors(width), "place long, anchor long")
+    anchors = texts.mapInArrow(_anchors(width), "row_key long, place long, anchor long")
     shared = anchors.groupBy("anchor").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low < high").select("anchor")
     shared = stored(shared)
-    held = maybe_in(anchors, shared, "anchor").join(shared, "anchor").groupBy("place").agg(F.collect_set("anchor").alias("anchors"))
-    packs = texts.mapInArrow(_packed, "row_key long, place long, pack binary").join(held, "place")
+    held = maybe_in(anchors, shared, "anchor").join(shared, "anchor").groupBy("row_key").agg(F.collect_set("anchor").alias("anchors"))
+    packs = texts.mapInArrow(_packed, "row_key long, place long, pack binary").join(held, "row_key")
     windows = stored(packs.select("row_key", "place", "anchors", "pack").mapInArrow(_windows(width), "row_key long, place long, at int, h1 long, h2 long"))
     low = windows.groupBy("h1", "h2").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low < high").drop("high")
     low = stored(low)
