@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ``docs`` needs ``doc_id`` and ``text``, ``labels`` ``doc_id`` and ``quality``. Rows whose crc32 of the id is
     divisible by 5 are held out and never fitted on. At most ``FIT_ROWS`` labelled rows, first by hash of the id,
     are pooled by the tasks and sent to the driver as vectors of fixed length. Null ids, null labels and labels
-    other than 0 and 1 aren't fitted on; a document with both labels counts with the larger.
+    other than 0 and 1 aren't fitted on; a document with both labels counts with the larger, of several texts of one id the one of the smallest vector.
     """
     table = word_vectors(docs)
     shapes = index_vectors(np.arange(_N_SHAPES), salt=1)
@@ -203,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             x = pooled(batch.column(1), table, shapes).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
-    got = rows.select("doc_id", "text", "quality").mapInArrow(vectors, "doc_id long, quality int, x array<float>").limit(2 * FIT_ROWS).toArrow()
+    # One vector of each id, so there are FIT_ROWS at most.
+    got = rows.select("doc_id", "text", "quality").mapInArrow(vectors, "doc_id long, quality int, x array<float>").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow()
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * DIM + 3).astype(np.float64) if len(got) else np.zeros((0, 2 * DIM + 3))
     ids, y = got["doc_id"].to_numpy(), got["quality"].to_numpy()
     by = np.lexsort([*x.T[:3], ids, words.mix(ids.astype(np.uint64))])
