@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
 import lzma
@@ -13,6 +14,7 @@ import zlib
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -21,8 +23,13 @@ from pyspark.sql import functions as F
 
 #: Kinds in the order that ties at one start are listed in; the first three are the base.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "forge")
-#: Bytes that the layers of one text may unfold to; beyond it ``complete`` is false. It guards against inflation bombs.
-MOST_DECODED = 1 << 28
+#: Characters that the layers of one text may unfold to beside it. It only guards against nested inflation bombs: a
+#: place whose layers go beyond it is reported as unread and masked as a whole.
+MOST_DECODED = 1 << 32
+#: Bytes of a layer that are held at once, and characters that two windows of a longer one have in common.
+WINDOW, OVERLAP = 1 << 24, 1 << 20
+#: Bytes that are inflated at a time.
+PIECE = 1 << 20
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -104,83 +111,136 @@ def _rewritten(text: str, rule: re.Pattern, decode: Callable[[re.Match], str | N
     return "".join(pieces), lambda lo, hi: back(place(lo, False), place(hi, True))
 
 
-def _inflated(raw: bytes, most: int) -> bytes | None:
-    """The content of a gzip, zlib, bzip2 or xz stream, cut at ``most`` bytes; None for anything else."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, most)
-        if raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, most)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, most)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, most)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
+def _decoder(raw: bytes):
+    """A decompressor for the gzip, zlib, bzip2 or xz stream that the bytes begin with; None for anything else."""
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
-def _unpacked(blob: str, most: int) -> str | None:
-    """The text in a base64 blob, also through compressed streams in it."""
+def _inflated(raw: bytes) -> Iterator[bytes]:
+    """The content of all streams that the bytes begin with, one after another, in pieces; nothing for anything else."""
+    while (one := _decoder(raw)) is not None:
+        feed = raw
+        try:
+            while True:
+                part = one.decompress(feed, PIECE)
+                if part:
+                    yield part
+                feed = getattr(one, "unconsumed_tail", b"")
+                if one.eof or not (part or feed):
+                    break
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            return
+        if not one.eof:
+            return
+        raw = one.unused_data
+
+
+def _readable(text: str) -> bool:
+    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
+    return bool(text) and odd * 20 <= len(text)
+
+
+def _unpacked(blob: str) -> Iterator[str | None]:
+    """The text in a base64 blob, also through compressed streams in it; None tells that part of it can't be read.
+
+    Content of more than ``WINDOW`` bytes comes in windows that overlap by ``OVERLAP`` characters.
+    """
     bare = blob.rstrip("=").replace("-", "+").replace("_", "/")
     if len(bare) % 4 == 1:
-        return None
+        return
     try:
         raw = base64.b64decode(bare + "=" * (-len(bare) % 4))
     except (binascii.Error, ValueError):
-        return None
-    seen = set()
-    while (inner := _inflated(raw, most)) is not None and inner not in seen:
+        return
+    seen: set[bytes] = set()
+    while True:
+        pieces, size, rest = [], 0, _inflated(raw)
+        for piece in rest:
+            pieces.append(piece)
+            size += len(piece)
+            if size > WINDOW:
+                break
+        if size > WINDOW:
+            break
+        inner = b"".join(pieces)
+        if not inner or inner in seen:
+            try:
+                text = raw.decode()
+            except UnicodeDecodeError:
+                return
+            if _readable(text):
+                yield text
+            return
         seen.add(inner)
         raw = inner
+    decode, held = codecs.getincrementaldecoder("utf-8")(), ""
     try:
-        text = raw.decode()
+        for piece in chain(pieces, rest):
+            held += decode.decode(piece)
+            if len(held) >= WINDOW:
+                yield held if _readable(held) else None
+                held = held[-OVERLAP:]
     except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    return text if text and odd * 20 <= len(text) else None
+        yield None
+    if held:
+        yield held if _readable(held) else None
 
 
 def _mark(layer: str, place: tuple[int, int]) -> tuple[bytes, tuple[int, int]]:
     return hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), place
 
 
-def find(text: str, most: int = MOST_DECODED) -> tuple[list[tuple[str, int, int, int]], bool]:
-    """Secrets as ``(kind, start, end, depth)`` by start, then kind, and whether every layer was unfolded.
+def unfold(text: str, most: int = MOST_DECODED) -> tuple[list[tuple[str, int, int, int]], list[tuple[int, int]]]:
+    """Secrets as ``(kind, start, end, depth)`` by start, then kind, and the places whose layers weren't read to the end.
 
     A worklist of layers, the text first: each layer is scanned, its escapes and blobs give new layers, and a
     layer whose content was met before at the same place isn't entered again. Spans are mapped back to the text; a span in a blob
-    covers the whole blob.
+    covers the whole blob. Long layers are unfolded and scanned window by window.
     """
     found: dict[tuple[str, int, int], int] = {}
-    work: deque[tuple[str, Back, int]] = deque([(text, lambda lo, hi: (lo, hi), 0)])
-    seen = {_mark(text, (0, len(text)))}
-    left, complete = most, True
+    unread: set[tuple[int, int]] = set()
+    work: deque[tuple[Iterator[str | None], Back, int]] = deque([(iter([text]), lambda lo, hi: (lo, hi), 0)])
+    seen: set[tuple[bytes, tuple[int, int]]] = set()
+    left = most + len(text)
     while work:
-        layer, back, depth = work.popleft()
+        windows, back, depth = work.popleft()
+        layer = next(windows, "")
+        if layer == "":
+            continue
+        if layer is None or left < len(layer):
+            unread.add(back(0, 0))
+            continue
+        work.append((windows, back, depth))
+        mark = _mark(layer, back(0, len(layer)))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        left -= len(layer)
         for kind, lo, hi in _plain(layer):
-            found.setdefault((kind, *back(lo, hi)), depth)
-        new: list[tuple[str, Back]] = []
-        if "%" in layer and (made := _rewritten(layer, _PERCENT, _percent, back)):
-            new.append(made)
-        if any(x in layer for x in _ESCAPES) and (made := _rewritten(layer, _UNICODE, _unicode, back)):
-            new.append(made)
+            place = (kind, *back(lo, hi))
+            found[place] = min(depth, found.get(place, depth))
+        for applies, rule, decode in (("%" in layer, _PERCENT, _percent), (any(x in layer for x in _ESCAPES), _UNICODE, _unicode)):
+            if applies and (made := _rewritten(layer, rule, decode, back)):
+                work.append((iter([made[0]]), made[1], depth + 1))
         for m in _BASE64.finditer(layer):
-            if (inner := _unpacked(m[0], max(1, left))) is not None:
-                whole = back(*m.span())
-                new.append((inner, lambda lo, hi, whole=whole: whole))
-        for inner, way in new:
-            mark = _mark(inner, way(0, len(inner)))
-            if mark in seen:
-                continue
-            seen.add(mark)
-            left -= len(inner)
-            if left <= 0:
-                complete = False
-                continue
-            work.append((inner, way, depth + 1))
+            whole = back(*m.span())
+            work.append((_unpacked(m[0]), lambda lo, hi, whole=whole: whole, depth + 1))
     spans = sorted(((*span, depth) for span, depth in found.items()), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
-    return spans, complete
+    return spans, sorted(unread)
+
+
+def find(text: str, most: int = MOST_DECODED) -> tuple[list[tuple[str, int, int, int]], bool]:
+    """The secrets of :func:`unfold` and whether every layer was read to its end."""
+    spans, unread = unfold(text, most)
+    return spans, not unread
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -203,7 +263,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """The documents with every secret's span (overlapping ones as one) replaced by ``mask`` in ``text``.
 
-    Other columns and all rows stay, null texts stay null; ``n_chars``, where there is one, is set anew.
+    A blob whose layers could not be read to the end is masked too. Other columns and all rows stay, null texts stay null; ``n_chars``, where there is one, is set anew.
     """
 
     def clean(texts: pd.Series) -> pd.Series:
@@ -211,7 +271,8 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         for text in texts:
             if text is not None:
                 at, pieces = 0, []
-                for _, lo, hi, _ in find(text)[0]:
+                spans, unread = unfold(text)
+                for lo, hi in sorted([*((lo, hi) for _, lo, hi, _ in spans), *unread]):
                     if hi <= at:
                         continue
                     if lo >= at:
