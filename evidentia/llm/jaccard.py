@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import words
@@ -22,8 +22,10 @@ SPARE = 0.12
 #: Further partitionings for sets that leave too many partitions of the others empty.
 FAMILIES = 4
 #: A bucket of more sets is hot. Pairs in it only matter between sets that may have no other bucket in common;
-#: these are joined by what sets them apart from a pivot of their cluster.
+#: these are joined by their rarest elements.
 HOT = 8
+#: Bits of a set's sketch.
+SKETCH_BITS = 1024
 #: Set ids that a task remembers, so that it signs copies once.
 _REMEMBERED = 1 << 20
 _SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
@@ -42,6 +44,10 @@ class Similarity:
     def largest_partner(self, size: int) -> int:
         return 100 * size // self.percent
 
+    def least_common(self, size: Column, other: Column) -> Column:
+        """The fewest elements that two linked sets of these sizes have in common."""
+        return F.ceil(F.lit(self.percent) * (size + other) / (100 + self.percent))
+
     def distance(self, size: int) -> int:
         """The most elements that two linked sets of at most ``size`` elements differ in."""
         return 2 * size * (100 - self.percent) // (100 + self.percent)
@@ -112,14 +118,26 @@ def signatures(shingles: np.ndarray, like: Similarity) -> list[tuple[np.ndarray,
     return out
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the elements dealt to ``SKETCH_BITS`` places, as longs.
+
+    An element that only one of two sets has turns one bit, so sets differ in as many elements at least as their
+    sketches differ in bits.
+    """
+    odd = np.bincount((words.mix(shingles) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _sizes(width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, ids = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            bits = np.zeros((len(batch), SKETCH_BITS // 64), np.int64)
             for part in words.slices(batch.column("text"), words.BLANK_SPLIT, words.FOLD):
                 for i, own in shingle_sets(part, width):
-                    n[i], ids[i] = len(own), set_id(own)
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("place"), pa.array(n), pa.array(ids)], ["row_key", "place", "n_shingles", "node"])
+                    n[i], ids[i], bits[i] = len(own), set_id(own), sketch(own)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, SKETCH_BITS // 64, dtype=np.int32)), pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("place"), pa.array(n), pa.array(ids), bits], ["row_key", "place", "n_shingles", "node", "sketch"])
 
     return scan
 
@@ -169,46 +187,15 @@ def _checked(like: Similarity):
     return scan
 
 
-#: Bounds of the classes of difference sizes in the hot join: a class reaches from its bound to the next.
-_CLASSES = np.unique(np.concatenate([[1], (1.25 ** np.arange(4, 150)).astype(np.int64)]))
-
-
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The elements that a set and its cluster's pivot don't share."""
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every element of every set, with what is told of its set."""
     for batch in batches:
-        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
-        pivot = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]
-        apart = [np.setxor1d(a, b, assume_unique=True).view(np.int64) for a, b in zip(own, pivot, strict=True)]
-        for lo in range(0, len(own), 64):
-            part = apart[lo : lo + 64]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, len(part)) for k in (0, 1)), pa.array([len(x) for x in own[lo : lo + 64]], pa.int64()), pa.array(part, pa.list_(pa.int64()))], ["cluster", "node", "size", "elements"])
-
-
-def _prefixes(like: Similarity):
-    """Prefix-filter keys of a set's differences, rarest first, for each class of sizes that a partner's may have.
-
-    Linked sets differ in at most k elements, and so do their differences from one pivot: sizes within k of each
-    other, and (d1 + d2 - k) / 2 elements in common at least. The first d - that + 1 elements of both then meet.
-    """
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple[int, ...]] = []
-            for cluster, node, size, known, elements in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
-                own, d = np.array(elements.values), len(elements)
-                k = (100 - like.percent) * (size + like.largest_partner(size)) // (100 + like.percent)
-                mine = int(np.searchsorted(_CLASSES, d, side="right")) - 1
-                for other in range(len(_CLASSES) - 1):
-                    low, high = int(_CLASSES[other]), int(_CLASSES[other + 1]) - 1
-                    if high < d - k or not d:
-                        continue
-                    if low > d + k:
-                        break
-                    common = max(1, -(-(d + max(low, d - k) - k) // 2))
-                    rows += [(cluster, min(mine, other), max(mine, other), int(e), int(mine > other), node, known, at, d, size) for at, e in enumerate(own[: max(0, d - common + 1)])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 10)], ["cluster", "lo", "hi", "element", "side", "node", "known", "at", "d", "size"])
-
-    return scan
+        for lo in range(0, len(batch), 256):
+            part = batch.slice(lo, 256)
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+            which = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            size = pa.array([len(x) for x in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(which), part.column(1).take(which), size.take(which), pa.array(np.concatenate(own))], ["node", "known", "size", "element"])
 
 
 class _Join:
@@ -217,7 +204,8 @@ class _Join:
     def __init__(self, docs: DataFrame, like: Similarity):
         self.like = like
         self.docs = docs.select("row_key", "place", "text")
-        self.rows = checkpointed(self.docs.mapInArrow(_sizes(like.width), "row_key long, place long, n_shingles long, node long"))
+        self.rows = checkpointed(self.docs.mapInArrow(_sizes(like.width), "row_key long, place long, n_shingles long, node long, sketch array<long>"))
+        self.sketches = stored(self.rows.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
 
     def members(self) -> DataFrame:
         """``signature, node, tag, low, n`` of every signature that several sets have."""
@@ -232,15 +220,21 @@ class _Join:
         texts = self.docs.join(maybe_broadcast(checkpointed(chosen)), "row_key", "left_semi").select("text")
         return texts.mapInArrow(_sets(self.like.width), "node long, shingles binary").dropDuplicates(["node"])
 
+    def maybe(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` less those that differ in too many elements by their sizes and sketches alone."""
+        one, two = (self.sketches.select(F.col("node").alias(c), F.struct("size", "sketch").alias(x)) for c, x in (("a", "one"), ("b", "two")))
+        joined = pairs.join(one, "a").join(two, "b")
+        apart = F.aggregate(F.zip_with("one.sketch", "two.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        sizes = F.col("one.size") + F.col("two.size")
+        return joined.filter(F.greatest(apart, F.abs(F.col("one.size") - F.col("two.size"))) <= F.floor(F.lit(100 - self.like.percent) * sizes / (100 + self.like.percent))).select("a", "b")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` of set ids that are linked by their whole sets."""
+        pairs = checkpointed(self.maybe(pairs))
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
         sets = self.sets(nodes)
         one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
-        joined = pairs.join(one, "a").join(two, "b")
-        size = lambda c: F.octet_length(c) / 8
-        joined = joined.filter(100 * F.least(size("one"), size("two")) >= self.like.percent * F.greatest(size("one"), size("two")))
-        return checkpointed(joined.select("a", "b", "one", "two").mapInArrow(_checked(self.like), "a long, b long"))
+        return checkpointed(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_checked(self.like), "a long, b long"))
 
     def cold_pairs(self, members: DataFrame) -> DataFrame:
         """Pairs ``a, b`` that share cold buckets often enough.
@@ -268,57 +262,41 @@ class _Join:
             votes = hot.join(stands, "signature").filter("node <> first").groupBy("node", "first").agg(F.count("*").alias("votes"))
             best = votes.groupBy("node").agg(F.max(F.struct("votes", "first"))["first"].alias("first"))
             pairs.append(best.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")))
-        return self.links(checkpointed(pairs[0].unionByName(pairs[1]).distinct()))
+        return self.links(pairs[0].unionByName(pairs[1]).distinct())
 
     def hot_pairs(self, members: DataFrame) -> DataFrame:
-        """Candidates among the sets that may share hot buckets only.
-
-        Sets that meet in a hot bucket form clusters; a cluster's smallest set is its pivot. Linked sets whose
-        differences from it add up to no more than they may differ in are linked with the set of least excess as
-        well, which makes a star. All others share a rare difference. Stars and ``near_links`` make groups that are
-        ``known`` by now: pairs within one are left out, and so is a difference that only one of them has. Met
-        differences are common ones: where they suffice the pair is ``proven``, and where even all after the last
-        one met would not, it is no link.
+        """Candidates ``a, b, proven`` among the sets that may share hot buckets only.
+
+        ``near_links`` make groups that are ``known`` by now; only sets of different groups can still be needed. They
+        are joined by a prefix filter over whole sets: elements are ordered by the number of these sets that have
+        them, rarest first. Two linked sets of sizes s and t have ``need`` elements in common at least, so their
+        first common one stands before place s - need + 1 of the one and t - need + 1 of the other. In a large group
+        of near copies the sets that are not linked with its bulk begin with more elements of their own than that,
+        so they meet none of it. An element of one set or one group only is dropped before the join; of the others,
+        rows of the group that most rows with this element belong to only meet those of other groups.
         """
-        hot = checkpointed(members.filter((F.col("n") > HOT) & (F.col("hot") > F.col("slack"))).select("signature", "node", "hot"))
-        lowest = hot.groupBy("signature").agg(F.min("node").alias("a"))
-        clusters = connected_components(hot.join(lowest, "signature").select("a", F.col("node").alias("b")).filter("a <> b").distinct())
-        clusters = checkpointed(clusters.select(F.col("component").alias("cluster"), "node"))
-        sets = self.sets(clusters.select("node"))
-        pivots = sets.select(F.col("node").alias("cluster"), F.col("shingles").alias("pivot"))
-        apart = clusters.join(sets, "node").join(pivots, "cluster").select("cluster", "node", "shingles", "pivot")
-        apart = checkpointed(apart.mapInArrow(_differences, "cluster long, node long, size long, elements array<long>"))
         like = self.like
-        excess = apart.select("cluster", "node", ((100 + like.percent) * F.size("elements") - (100 - like.percent) * F.col("size")).alias("excess"))
-        least = excess.groupBy("cluster").agg(F.min(F.struct("excess", "node")).alias("least"))
-        excess = checkpointed(excess.join(least, "cluster").select("cluster", "node", (F.col("excess") + F.col("least.excess") <= 0).cast("long").alias("star"), F.col("least.node").alias("centre")))
-        stars = excess.filter("star = 1 and node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        links = checkpointed(self.near_links(hot).unionByName(stars).distinct())
+        hot = checkpointed(members.filter((F.col("n") > HOT) & (F.col("hot") > F.col("slack"))).select("signature", "node", "hot"))
+        links = self.near_links(hot)
         known = connected_components(links).withColumnRenamed("component", "known")
-        apart = apart.join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
-        each = apart.select("cluster", "node", "size", "known", F.explode("elements").alias("element"))
-        often = each.groupBy("cluster", "element").agg(F.count("*").alias("often"))
-        ranked = each.join(often, ["cluster", "element"]).groupBy("cluster", "node", "size", "known").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("ranked"))
-        keys = stored(ranked.select("cluster", "node", "size", "known", F.col("ranked.element").alias("elements")).mapInArrow(_prefixes(like), "cluster long, lo long, hi long, element long, side long, node long, known long, at long, d long, size long"))
-        on = ["cluster", "lo", "hi", "element"]
-        several = keys.groupBy(*on).agg(F.min("known").alias("low"), F.max("known").alias("high")).filter("low < high").select(*on)
-        keys = stored(keys.join(several, on, "left_semi"))
-        ends = lambda x: F.struct("node", "known", "d", "size", "at").alias(x)
-        one, two = keys.filter("side = 0").select(*on, ends("x")), keys.filter("side = 1 or lo = hi").select(*on, ends("y"))
-        met = one.join(two, on).filter("x.known <> y.known and (x.node < y.node or (lo < hi and x.node <> y.node))")
-        met = met.select(
-            F.col("x.node").alias("a"),
-            F.col("y.node").alias("b"),
-            (F.col("x.d") + F.col("y.d")).alias("apart"),
-            (F.col("x.size") + F.col("y.size")).alias("sizes"),
-            (F.col("x.d") - 1 - F.col("x.at")).alias("left_a"),
-            (F.col("y.d") - 1 - F.col("y.at")).alias("left_b"),
-        )
-        told = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("apart").alias("apart"), F.max("sizes").alias("sizes"), F.min("left_a").alias("left_a"), F.min("left_b").alias("left_b"))
-        allowed = F.floor(F.lit(100 - like.percent) * F.col("sizes") / (100 + like.percent))
-        told = told.withColumn("needed", F.ceil((F.col("apart") - allowed) / 2)).filter(F.col("met") + F.least("left_a", "left_b") >= F.col("needed"))
-        told = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("met") >= F.col("needed")).alias("proven")).distinct()
-        return told.unionByName(links.select("a", "b", F.lit(True).alias("proven")))
+        sets = self.sets(hot.select("node")).join(known, "node", "left").select("node", F.coalesce("known", "node").alias("known"), "shingles")
+        every = sets.mapInArrow(_elements, "node long, known long, size long, element long")
+        often = stored(every.groupBy("element").agg(F.count("*").alias("often")).filter("often > 1"))
+        shared = maybe_in(every, often.select("element"), "element").join(often, "element")
+        ranked = shared.groupBy("node", "known", "size").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("ranked"))
+        # Elements of this set only come first; they need no row of their own.
+        own = F.col("size") - F.size("ranked")
+        most = (F.col("size") - like.least_common(F.col("size"), F.ceil(F.lit(like.percent) * F.col("size") / 100)) + 1 - own).cast("int")
+        keys = ranked.filter(most > 0).select("node", "known", "size", own.alias("own"), F.posexplode(F.slice("ranked", F.lit(1), most)).alias("at", "ranked"))
+        keys = stored(keys.select("node", "known", "size", (F.col("own") + F.col("at")).alias("at"), F.col("ranked.element").alias("element")))
+        groups = keys.groupBy("element", "known").agg(F.count("*").alias("n")).groupBy("element").agg(F.count("*").alias("groups"), F.max(F.struct("n", "known"))["known"].alias("bulk"))
+        keys = stored(keys.join(groups.filter("groups > 1").select("element", "bulk"), "element"))
+        one = keys.filter("known <> bulk").select("element", F.struct("node", "known", "size", "at").alias("x"))
+        two = keys.select("element", F.struct("node", "known", "size", "at").alias("y"))
+        need = like.least_common(F.col("x.size"), F.col("y.size"))
+        met = one.join(two, "element").filter((F.col("x.known") != F.col("y.known")) & (F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= need))
+        pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.lit(False).alias("proven")).distinct()
+        return pairs.unionByName(links.select("a", "b", F.lit(True).alias("proven")))
 
     def components(self) -> DataFrame:
         """``node, component`` of every set that is linked with another one."""
