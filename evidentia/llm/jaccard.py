@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import words
-from evidentia.llm.keys import free_name, maybe_broadcast, maybe_in, smallest_first
+from evidentia.llm.keys import free_name, in_small_batches, maybe_broadcast, maybe_in, smallest_first
 from evidentia.operators.graph import connected_components
 from evidentia.sources.session import checkpointed, stored
 
@@ -190,8 +190,8 @@ def _checked(like: Similarity):
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every element of every set, with what is told of its set."""
     for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part = batch.slice(lo, 256)
+        for lo in range(0, len(batch), 32):
+            part = batch.slice(lo, 32)
             own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
             which = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
             size = pa.array([len(x) for x in own], pa.int64())
@@ -203,7 +203,7 @@ class _Join:
 
     def __init__(self, docs: DataFrame, like: Similarity):
         self.like = like
-        self.docs = docs.select("row_key", "place", "text")
+        self.docs = in_small_batches(docs).select("row_key", "place", "text")
         self.rows = checkpointed(self.docs.mapInArrow(_sizes(like.width), "row_key long, place long, n_shingles long, node long, sketch array<long>"))
         self.sketches = stored(self.rows.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
 

@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows of an Arrow batch of texts; a batch is held whole on both sides, and texts may be very long.
+BATCH_ROWS = 500
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches have ``BATCH_ROWS`` rows at most."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """``doc_id, text`` and what else is named, with a partition-wise unique ``row_key`` that no null or repeat upsets."""
     return docs.select(F.monotonically_increasing_id().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import words
-from evidentia.llm.keys import maybe_broadcast, maybe_in, smallest_first
+from evidentia.llm.keys import in_small_batches, maybe_broadcast, maybe_in, smallest_first
 from evidentia.sources.session import checkpointed, stored
 
 # A difference cover of 31; every residue is a difference of two of its places, exactly one way.
@@ -141,7 +141,7 @@ def repeated_ranges(docs: DataFrame, width: int = 50) -> DataFrame:
     its full width and compared by a 128-bit hash. The smallest place of each window comes from an aggregation
     too, so no group of copies meets in one task, and the join back can be split.
     """
-    texts = docs.select("row_key", "place", "text")
+    texts = in_small_batches(docs).select("row_key", "place", "text")
     anchors = texts.mapInArrow(_anchors(width), "row_key long, place long, anchor long")
     shared = anchors.groupBy("anchor").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low < high").select("anchor")
     shared = stored(shared)
