@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from evidentia.sources.session import checkpointed
 
-#: A branch is judged by its site only if so many of the site's pages have it.
-LEAST_PAGES = 8
-#: Content importance under which a branch is left out, and what the article around it must reach.
-LOW, AROUND = 0.1, 0.5
+#: Importance under which a branch is left out, the same for branches that a part of a class name hints at, and what
+#: the text around must reach.
+LOW, LOW_HINTED, AROUND = 0.2, 0.6, 0.5
+#: Pages of full importance that are added to those of a branch, so that few pages never decide.
+PRIOR_PAGES = 1.0
+#: Weight of what stands below a branch in its importance; the rest is that of its own presentation.
+BELOW = 0.9
 #: Rows (site and branch) of the list of low branches that may be sent to every task; more take a salted join.
 BROADCAST_BRANCHES = 500_000
 SALTS = 64
@@ -30,12 +33,14 @@ NOISE = frozenset("nav footer aside form script style noscript iframe template s
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_NOISY_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|side-?bar|cookies?|consent|gdpr|notice|notices|alert|banner|comments?|discuss\w*|disqus|respond|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|bread-?crumbs?|menu|nav|navbar|navigation|footer|masthead|popup|modal|login|search|pagination|pager|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+_NOISY_WORDS = (
+    r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|side-?bar|cookies?|consent|gdpr|notice|notices|alert|banner|comments?|discuss\w*|disqus|respond|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|bread-?crumbs?|menu|nav|navbar|navigation|footer|masthead|popup|modal|login|search|pagination|pager|widget)"
 )
+#: A whole class or id, and a part of one.
+_NOISY_NAME = re.compile(_NOISY_WORDS, re.IGNORECASE)
+_NOISY_PART = re.compile(rf"(?:^|[\s_-]){_NOISY_WORDS}(?:$|[\s_-])", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -43,10 +48,15 @@ _DIGITS = re.compile(r"[0-9]+")
 class Block:
     """A block's branch in the style tree, its text, and what the markup says about it."""
 
-    branch: int
-    article: int
+    path: str
+    article: str
     text: str
     noise: bool
+    hinted: bool
+
+    @property
+    def branch(self) -> int:
+        return _hash(self.path)
 
 
 @dataclass
@@ -54,26 +64,35 @@ class _Open:
     tag: str
     path: str
     noise: bool
+    hinted: bool
     article: str
 
 
-def _noisy(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    if tag in NOISE or "hidden" in attributes or attributes.get("role", "").lower() in ROLES:
-        return True
+def _noisy(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, bool]:
+    """Whether the markup tells an element to be no main text, and whether it only hints at that.
+
+    A name counts as a whole; inside an article a part of a name, as in ``related-work``, is a hint for the tree.
+    """
+    if tag in NOISE or "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or attributes.get("role", "").strip().lower() in ROLES:
+        return True, False
     if tag == "header" and not in_article:
-        return True
+        return True, False
+    if tag in ("html", "body", "article", "main"):
+        return False, False
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return bool(_NOISY_NAMES.search(names)) and tag not in ("html", "body", "article", "main")
+    part = bool(_NOISY_PART.search(names))
+    whole = any(_NOISY_NAME.fullmatch(name) for name in names.split())
+    return whole or (part and not in_article), part
 
 
-def _branch(path: str) -> int:
-    return xxhash.xxh64_intdigest(path) - (1 << 63)
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
 def blocks(source: str) -> list[Block]:
-    """The text blocks of a page in order; ``article`` is 0 outside ``article`` and ``main`` elements."""
+    """The text blocks of a page in order; ``article`` is empty outside ``article`` and ``main`` elements."""
     out: list[Block] = []
-    stack = [_Open("", "", False, "")]
+    stack = [_Open("", "", False, False, "")]
     said: list[str] = []
     at = 0
 
@@ -82,7 +101,7 @@ def blocks(source: str) -> list[Block]:
         said.clear()
         if text:
             top = stack[-1]
-            out.append(Block(_branch(top.path), _branch(top.article) if top.article else 0, text, top.noise))
+            out.append(Block(top.path, top.article, text, top.noise, top.hinted))
 
     def close(upto: int) -> None:
         del stack[upto:]
@@ -112,9 +131,9 @@ def blocks(source: str) -> list[Block]:
         if tag in INLINE:
             if tag == "br":
                 said.append(" ")
-            if tag not in VOID and _noisy(tag, attributes, True):
+            if tag not in VOID and _noisy(tag, attributes, True)[0]:
                 flush()
-                stack.append(_Open(tag, f"{stack[-1].path}/{tag}", True, stack[-1].article))
+                stack.append(_Open(tag, f"{stack[-1].path}/{tag}", True, stack[-1].hinted, stack[-1].article))
             continue
         flush()
         shut = set(CLOSES.get(tag, ())) | ({"p"} if tag in ENDS_P else set())
@@ -126,64 +145,129 @@ def blocks(source: str) -> list[Block]:
         name = tag + "." + _DIGITS.sub("0", ".".join(sorted(attributes.get("class", "").lower().split()))) if attributes.get("class") else tag
         path = f"{above.path}/{name}"
         article = above.article or (path if tag in ("article", "main") else "")
-        stack.append(_Open(tag, path, above.noise or _noisy(tag, attributes, bool(above.article)), article))
+        noise, hinted = _noisy(tag, attributes, bool(above.article))
+        stack.append(_Open(tag, path, above.noise or noise, above.hinted or hinted, article))
     flush()
     return out
 
 
-def main_text(source: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page, given the branches that its site's style tree finds unimportant."""
+def main_text(source: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[str, int]:
+    """The main text of a page, given the branches that its site's style tree finds unimportant, and how many blocks these take."""
     found = blocks(source)
-    kept = [b for b in found if b.article and not b.noise]
-    if not kept:
-        kept = [b for b in found if not b.noise]
-    return "\n".join(b.text for b in kept if b.branch not in low)
-
-
-_NODES = "host string, article long, branch long, content long"
+    important = [b for b in found if b.branch not in low]
+    kept = [b for b in important if b.article and not b.noise]
+    if not any(b.article and not b.noise for b in found):
+        kept = [b for b in important if not b.noise]
+    return "\n".join(b.text for b in kept), len(found) - len(important)
+
+
+#: Sorts of a node's values: texts of its blocks, and presentations (the names of its children in order).
+CONTENT, PRESENTATION = 0, 1
+_NODES = "host string, node long, above array<long>, article boolean, hinted boolean, kind int, value long"
+
+
+def page_nodes(source: str) -> set[tuple[int, tuple[int, ...], bool, bool, int, int]]:
+    """A page's share of its site's tree: ``node, above, article, hinted, kind, value``, each once."""
+    own, children, kinds = set(), {}, {}
+    for b in blocks(source):
+        steps = b.path.split("/")
+        paths = ["/".join(steps[: k + 1]) for k in range(len(steps))]
+        for parent, child in zip(paths, paths[1:]):
+            children.setdefault(parent, {})[child] = None
+            children.setdefault(child, {})
+        for path in paths:
+            inside, hinted = kinds.get(path, (False, True))
+            kinds[path] = (inside or bool(b.article) and path.startswith(b.article), hinted and b.hinted)
+        own.add((b.path, CONTENT, _hash(b.text)))
+    own |= {(path, PRESENTATION, _hash(" ".join(below))) for path, below in children.items()}
+    out = set()
+    for path, kind, value in own:
+        steps = path.split("/")
+        above = tuple(_hash("/".join(steps[: k + 1])) for k in range(len(steps) - 1))
+        out.add((_hash(path), above, *kinds.get(path, (False, False)), kind, value))
+    return out
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int32(), pa.int64())
     for batch in batches:
-        rows: list[tuple] = []
-        for host, source in zip(batch.column(0), batch.column(1), strict=True):
-            own = {(b.article, b.branch, xxhash.xxh64_intdigest(b.text) - (1 << 63)) for b in blocks(source.as_py() or "") if not b.noise}
-            rows += [(host.as_py(), *node) for node in own]
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "article", "branch", "content"])
+        rows = [(host.as_py(), *node) for host, source in zip(batch.column(0), batch.column(1), strict=True) for node in page_nodes(source.as_py() or "")]
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "node", "above", "article", "hinted", "kind", "value"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``host, article, branch, pages, importance``: the merged trees of the sites in ``pages`` (``host, html``).
-
-    A branch is the chain of element names and classes down to a block. Of the ``pages`` that have it, a content
-    is on n: its entropy over them is log n / log pages, 1 for content that all share and 0 for content of one
-    page. The branch's importance is 1 less the mean entropy of its contents, each counted once a page. Contents
-    are counted by two aggregations that combine before they shuffle, so a site with very many pages is spread.
+    """``host, node, article, hinted, pages, content, importance``: the merged trees of the sites in ``pages`` (``host, html``).
+
+    A node is the chain of element names and classes down to it. Its presentations, the names of its children in
+    order, have the entropy sum(-p log p) / log m over the m pages that have the node: 0 if all look alike. A content
+    on n of them has the entropy log n / log m, and ``content`` is 1 less the mean over the node's contents, each
+    counted once a page. With one page both are 1. ``importance`` of a node combines, as ``1 - BELOW`` to ``BELOW``,
+    its own presentation with the contents of all nodes below it and its own; a node without children has that of its
+    contents. To both sides ``PRIOR_PAGES`` pages of importance 1 are added. Pages of a site with the same html are
+    one. Values are counted by aggregations that combine before they shuffle, so a site with very many pages is
+    spread; the tree that is left has a row for each node of a site.
     """
-    counts = pages.select("host", "html").mapInArrow(_nodes, _NODES).groupBy("host", "article", "branch", "content").agg(F.count("*").alias("n"))
-    merged = counts.groupBy("host", "article", "branch").agg(F.sum("n").alias("uses"), F.max("n").alias("most"), F.sum(F.col("n") * F.log("n")).alias("spread"))
-    return merged.select("host", "article", "branch", F.col("uses").alias("pages"), F.when(F.col("uses") > 1, 1 - F.col("spread") / (F.col("uses") * F.log(F.greatest(F.col("most"), F.lit(2))))).otherwise(1.0).alias("importance"), "most")
+    once = pages.select("host", "html", F.xxhash64("html").alias("copy")).dropDuplicates(["host", "copy"])
+    counts = once.select("host", "html").mapInArrow(_nodes, _NODES).groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"), F.first("above").alias("above"), F.max("article").alias("article"), F.min("hinted").alias("hinted"))
+    told = F.col("kind") == PRESENTATION
+    nodes = counts.groupBy("host", "node").agg(
+        F.first("above").alias("above"),
+        F.max("article").alias("article"),
+        F.min("hinted").alias("hinted"),
+        F.sum(F.when(told, F.col("n"))).alias("pages"),
+        F.sum(F.when(told, F.col("n") * F.log("n"))).alias("styles"),
+        F.coalesce(F.sum(F.when(~told, F.col("n"))), F.lit(0)).alias("uses"),
+        F.coalesce(F.sum(F.when(~told, F.col("n") * F.log("n"))), F.lit(0.0)).alias("spread"),
+    )
+    log = F.log(F.greatest("pages", F.lit(2)))
+    several = F.col("pages") > 1
+    nodes = checkpointed(
+        nodes.select(
+            "host",
+            "node",
+            "above",
+            "article",
+            "hinted",
+            "pages",
+            "uses",
+            F.when(several, 1 - F.col("styles") / (F.col("pages") * log)).otherwise(1.0).alias("presentation"),
+            F.when(several & (F.col("uses") > 0), 1 - F.col("spread") / (F.col("uses") * log)).otherwise(1.0).alias("content"),
+        )
+    )
+    texts = nodes.filter("uses > 0").select("host", F.explode(F.concat("above", F.array("node"))).alias("node"), "uses", "content")
+    below = texts.groupBy("host", "node").agg((F.sum(F.col("uses") * F.col("content")) / F.sum("uses")).alias("below"), F.count("*").alias("under"))
+    joined = nodes.join(below, ["host", "node"])
+    alone = (F.col("under") == 1) & (F.col("uses") > 0)
+    raw = F.when(alone, F.col("content")).otherwise((1 - BELOW) * F.col("presentation") + BELOW * F.col("below"))
+    weighted = lambda x: (F.col("pages") * x + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
+    return joined.select("host", "node", "above", "article", "hinted", "pages", "uses", weighted(F.col("content")).alias("content"), weighted(raw).alias("importance"))
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """``host, branch`` of the branches to leave out: the same on most pages although the article around them varies."""
+    """``host, branch`` of the text nodes to leave out.
+
+    A node with text goes if its own contents and its combined importance, or that of a node above it with all
+    contents below, are low. Inside articles this is only believed where the articles of the site vary as a whole.
+    """
     tree = checkpointed(style_tree(pages))
-    around = tree.groupBy("host", "article").agg((F.sum(F.col("importance") * F.col("pages")) / F.sum("pages")).alias("around"), F.max("pages").alias("site_pages"))
-    joined = tree.join(around, ["host", "article"])
-    return joined.filter((F.col("most") >= LEAST_PAGES) & (2 * F.col("most") >= F.col("pages")) & (F.col("importance") < LOW) & (F.col("around") >= AROUND)).select("host", "branch").distinct()
+    texts = tree.filter("uses > 0")
+    around = texts.filter("article").groupBy("host").agg((F.sum(F.col("content") * F.col("uses")) / F.sum("uses")).alias("around"))
+    least = F.when(F.col("hinted"), LOW_HINTED).otherwise(LOW)
+    low = texts.join(around, "host", "left").filter((F.col("content") < least) & (F.col("importance") < least) & (~F.col("article") | (F.col("around") >= AROUND)))
+    return low.select("host", F.col("node").alias("branch")).distinct()
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` of each row of ``pages`` (``page_id, url, html``).
+    """``page_id, url, text, n_chars, n_low`` of each row of ``pages`` (``page_id, url, html``).
 
-    The blocks of the page's ``article`` or ``main`` elements (of the whole page, if it has none), less those
-    that the markup marks as menu, header, footer, sidebar, notice, advert, form or comments, less the branches
-    that the site's style tree finds unimportant. Character references are decoded, white space in a block becomes
-    one space, blocks are joined by one line break.
+    The site's style tree takes the branches that are of low importance (``n_low`` blocks of the page). Of what is
+    left, the blocks of the page's ``article`` or ``main`` elements (of the whole page, if it has none) are the text,
+    less those that the markup marks as menu, header, footer, sidebar, notice, advert, form or comments. Character
+    references are decoded, white space in a block becomes one space, blocks are joined by one line break.
 
     Null pages are empty and give the empty text; a null url is a site of its own; cut-off markup ends where it is
-    cut; repeated rows give the same text and count twice in the tree; an empty table gives no rows.
+    cut; repeated rows give the same text and count once in the tree; an empty table gives no rows.
     """
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     pages = pages.select(F.col("page_id"), F.col("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
@@ -198,7 +282,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(source.as_py() or "", set(low.as_py() or ())) for source, low in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            told = [main_text(source.as_py() or "", set(low.as_py() or ())) for source, low in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [text for text, _ in told]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([n for _, n in told], pa.int64())], ["page_id", "url", "text", "n_chars", "n_low"])
 
-    return joined.select("page_id", "url", "html", "low").mapInArrow(scan, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "low").mapInArrow(scan, f"page_id {kind}, url string, text string, n_chars long, n_low long")

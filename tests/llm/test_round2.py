@@ -114,3 +114,66 @@ def test_copies_of_a_family_are_judged_exactly(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.similar(df, like).collect()} == {k: find(k) for k in range(len(texts))}
     kept = {r.doc_id for r in jaccard.one_of_each(df, like).collect()}
     assert kept == {find(k) for k in range(len(texts))}
+
+
+def test_attributes_are_read_as_names_and_values():
+    from evidentia.llm import pages
+
+    kept = ['<p title="the hidden truth">Body</p>', '<p aria-hidden="false">Body</p>', '<p data-id="nav">Body</p>', '<p class="related-work">Body</p>']
+    gone = ["<p hidden>Body</p>", "<p aria-hidden='true'>Body</p>", '<div class="x comments">Body</div>', "<div id=share>Body</div>", '<p role="navigation">Body</p>']
+    for inner, want in [(x, "T\nBody") for x in kept] + [(x, "T") for x in gone]:
+        assert pages.main_text(f"<body><article><h1>T</h1>{inner}</article></body>") == (want, 0), inner
+
+
+def tree_by_hand(rows: list[tuple[str, str]]) -> dict[tuple[str, int], tuple[float, float]]:
+    """Content and combined importance of every node of every host, from plain dictionaries."""
+    import math
+
+    from evidentia.llm import pages
+
+    out = {}
+    for host in {h for h, _ in rows}:
+        values: dict = {}
+        above: dict = {}
+        for source in {s for h, s in rows if h == host}:
+            for node, up, _, _, kind, value in pages.page_nodes(source):
+                values.setdefault(node, ({}, {}))[kind][value] = values.setdefault(node, ({}, {}))[kind].get(value, 0) + 1
+                above[node] = up
+        content, shown, size = {}, {}, {}
+        for node, (texts, styles) in values.items():
+            m = size[node] = sum(styles.values())
+            shown[node] = sum(-n / m * math.log(n / m) for n in styles.values()) / math.log(m) if m > 1 else 1.0
+            content[node] = 1 - sum(n * math.log(n) for n in texts.values()) / sum(texts.values()) / math.log(m) if m > 1 and texts else 1.0
+        for node in values:
+            under = [n for n in values if values[n][0] and (n == node or node in above[n])]
+            if not under:
+                continue
+            uses = {n: sum(values[n][0].values()) for n in under}
+            raw = content[node] if under == [node] else 0.1 * shown[node] + 0.9 * sum(uses[n] * content[n] for n in under) / sum(uses.values())
+            out[host, node] = tuple(round((size[node] * x + 1) / (size[node] + 1), 9) for x in (content[node], raw))
+    return out
+
+
+def test_style_tree_by_hand(spark):
+    from evidentia.llm import pages
+
+    rng = random.Random(4)
+    rows = []
+    for host in ("a.org", "b.org"):
+        for k in range(14):
+            parts = "".join(f"<p>own {rng.random()}</p>" for _ in range(rng.randrange(1, 4)))
+            tail = "<div class='tail'><p>Read more</p><p>Write to us</p></div>" if host == "a.org" else f"<div class='tail'><p>Read {k}</p></div>"
+            rows.append((host, f"<body><div class='top'>Site of {host}</div><article><h1>Title {k % 9}</h1>{parts}{tail}</article><div class='end'>Imprint</div></body>"))
+    rows.append(rows[0])
+    got = {(r.host, r.node): (round(r.content, 9), round(r.importance, 9)) for r in pages.style_tree(spark.createDataFrame(rows, "host string, html string")).collect()}
+    assert got == tree_by_hand(rows)
+    df = spark.createDataFrame([(k, f"http://{h}/{k}", s) for k, (h, s) in enumerate(rows)], "page_id long, url string, html string")
+    for r in pages.extract(df).collect():
+        assert ("Read" in r.text) == (r.url.startswith("http://b.org")) and "Imprint" not in r.text and r.text.startswith("Title") and r.n_low >= 2
+
+
+def test_the_tree_takes_part_on_the_tables(spark):
+    from evidentia.llm import pages
+
+    low = pages.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).agg({"n_low": "max"}).first()[0]
+    assert low > 0
