@@ -63,9 +63,34 @@ FAMILIES = (
 # Creative Commons terms and versions.
 CC_TERMS = (("by", "attribution"), ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivs"), ("by nc", "attribution noncommercial"), ("by sa", "attribution sharealike"), ("by nd", "attribution noderivs"))
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
+# Sentences of license texts and of their notices as label, keyword and words.
+BODIES = (
+    ("mit", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("boost-1", "hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("isc", "without fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "without fee", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", "binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2", "binary form", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by"),
+    ("bsd-3", "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("apache-2", "compliance", "you may not use this file except in compliance with the license"),
+    ("gpl-2", "free software", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3", "free software", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2.1", "free software", "it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3", "free software", "it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", "affero", "it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("fdl-1.3", "documentation license", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3"),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl-2", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "held liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("wtfpl-2", "verbatim", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("cc0-1", "public domain", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("proprietary", "strictly prohibited", "unauthorized copying of this file via any medium is strictly prohibited"),
+)
 #: Tiers in falling priority and the confidence of a detection.
-SPDX, GRANT, VERSIONED, NAMED, HINT = range(5)
-CONFIDENCE = (1.0, 0.95, 0.9, 0.7, 0.3)
+SPDX, BODY, GRANT, VERSIONED, NAMED, HINT = range(6)
+CONFIDENCE = (1.0, 0.98, 0.95, 0.9, 0.7, 0.3)
 #: Confidence of a base phrase.
 BASE_CONFIDENCE = 0.9
 _BLANK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -110,6 +135,7 @@ def rules() -> list[Rule]:
         tier = VERSIONED if version else NAMED
         out.append(Rule(tier, label, " cc ", f" cc {wrapped(short)}{wrapped(version)}"))
         out.append(Rule(tier, label, " creative ", f" creative  commons {wrapped(long)}(?: license )?{wrapped(version)}"))
+    out += [Rule(BODY, label, wrapped(keyword), wrapped(words)) for label, keyword, words in BODIES]
     out += [
         Rule(VERSIONED, "cc0-1", " cc0 ", " cc0 (?: 1  0 )?"),
         Rule(NAMED, "public-domain", " domain ", " (?:dedicated|released|placed)  (?:to|into|in)  the  public  domain "),

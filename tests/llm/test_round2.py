@@ -177,3 +177,18 @@ def test_the_tree_takes_part_on_the_tables(spark):
 
     low = pages.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).agg({"n_low": "max"}).first()[0]
     assert low > 0
+
+
+def test_license_texts_themselves(spark):
+    from evidentia.llm import licenses
+
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software'
+    two = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    three = "3. Neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    end = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    said = [mit, two + end, two + three + end, gpl, apache, "copying is permitted to any person"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.labelled(docs).collect()}
+    assert got == {0: ("mit", 0.98), 1: ("bsd,bsd-2", 0.98), 2: ("bsd,bsd-3", 0.98), 3: ("gpl-3", 0.98), 4: ("apache-2", 0.98), 5: ("", 0.0)}
