@@ -74,7 +74,7 @@ def row_windows(rows: DataFrame, keys: list[str], order: list[str], size: int, v
     rows = rows.withColumn("window_index", nr)
     return rows.groupBy(*keys, "window_index").agg(
         F.count("*").alias("n"),
-        F.round(F.avg(value), 4).alias("mean"),
+        F.round(F.avg(value), 6).alias("mean"),
         F.round(F.percentile(value, F.lit(0.5)), 4).alias("median"),
         F.round(F.percentile(value, F.lit(0.9)), 4).alias("p90"),
     )

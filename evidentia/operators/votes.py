@@ -99,6 +99,7 @@ def trial_decision(trials: DataFrame, issue: str, relation: str, priority: str)
 
 
 def missing_verdicts(issues: DataFrame, models: DataFrame, verdicts: DataFrame, issue: str, model: str) -> DataFrame:
-    """The (issue, model) pairs without a verdict; ``models`` is the short list of reviewers."""
-    wanted = issues.select(issue, F.explode(F.array(*[F.lit(r[model]) for r in models.select(model).distinct().orderBy(model).limit(1000).collect()])).alias(model))
+    """The (issue, model) pairs without a verdict; ``models`` names the reviewers, all of them, in one row's array."""
+    every = models.agg(F.collect_set(model).alias("_models")).withColumn("_key", F.lit(1))
+    wanted = issues.select(issue, F.lit(1).alias("_key")).join(F.broadcast(every), "_key").select(issue, F.explode("_models").alias(model))
     return wanted.join(verdicts.select(issue, model), [issue, model], "left_anti")

@@ -36,10 +36,10 @@ def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matching-blocks ratio of each turn's first 120 characters against the turn before."""
+    """Matching-blocks ratio of each turn's whole text against the turn before."""
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = table(spark, sf_dir, "conversations").withColumn("previous", before).filter("previous is not null")
-    return rows.select("conv_id", "turn", F.round(external.sequence_ratio(F.left("text", F.lit(120)), F.left("previous", F.lit(120))), 6).alias("ratio"))
+    return rows.select("conv_id", "turn", F.round(external.sequence_ratio(F.col("text"), F.col("previous")), 6).alias("ratio"))
 
 
 QUERIES = {"frame_features": frame_features, "frame_pairs": frame_pairs, "model_reviews": model_reviews, "review_summary": review_summary, "turn_ratios": turn_ratios}

@@ -13,7 +13,7 @@ from evidentia.sources.session import table
 def compact_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal forms of every document's text, as digests."""
     t = F.col("text")
-    forms = {"compact": text.compact(t), "collapsed": text.collapsed(t), "shortened": text.shortened(t, 60), "slug": text.slug(F.left(t, F.lit(40)))}
+    forms = {"compact": text.compact(t), "collapsed": text.collapsed(t), "shortened": text.shortened(t, 60), "slug": text.slug(t)}
     return table(spark, sf_dir, "documents").select("doc_id", *[F.md5(c.cast("binary")).alias(name) for name, c in forms.items()])
 
 
@@ -21,7 +21,7 @@ COMPACT = r"""
 with c as (select doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') k from documents)
 select doc_id, md5(lower(regexp_replace(text, '\s+', '', 'g'))) compact, md5(k) collapsed,
   md5(case when length(k) > 60 then rtrim(left(k, 59), ' ') || '...' else k end) shortened,
-  md5(regexp_replace(regexp_replace(left(text, 40), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')) slug from c"""
+  md5(regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')) slug from c"""
 
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,18 +60,18 @@ select item_id, row_number() over w "rank", score, sentence from r window w as (
 
 
 def similar_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn against the one before: token overlap, containment, and edit similarity of the first 200 characters."""
+    """Each turn against the one before: token overlap, containment, and edit similarity of the whole texts."""
     rows = table(spark, sf_dir, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = rows.select("conv_id", "turn", "text", before.alias("previous")).filter("previous is not null")
-    a, b = (F.regexp_replace(F.left(c, F.lit(200)), r"[^\x00-\x7F]", "_") for c in ("text", "previous"))
+    a, b = (F.regexp_replace(c, r"[^\x00-\x7F]", "_") for c in ("text", "previous"))
     return rows.select("conv_id", "turn", text.similar_claims(F.col("text"), F.col("previous")).alias("similar"), F.round(text.edit_similarity(a, b), 6).alias("alike"), text.text_merge(a, b, 0.3).alias("decision"))
 
 
 SIMILAR = r"""
 with r as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) p from conversations),
 n as (select *, lower(regexp_replace(text, '\s+', '', 'g')) ca, lower(regexp_replace(p, '\s+', '', 'g')) cb, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) ta,
-  list_distinct(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) tb, regexp_replace(left(text, 200), '[^\x00-\x7F]', '_', 'g') a, regexp_replace(left(p, 200), '[^\x00-\x7F]', '_', 'g') b from r where p is not null),
+  list_distinct(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) tb, regexp_replace(text, '[^\x00-\x7F]', '_', 'g') a, regexp_replace(p, '[^\x00-\x7F]', '_', 'g') b from r where p is not null),
 m as (select *, regexp_replace(lower(a), '[^\p{L}\p{N}]+', '', 'g') na, regexp_replace(lower(b), '[^\p{L}\p{N}]+', '', 'g') nb from n),
 k as (select *, case when greatest(length(na), length(nb)) = 0 then 1.0 else 1 - levenshtein(na, nb) / greatest(length(na), length(nb)) end x from m)
 select conv_id, turn, ca <> '' and cb <> '' and (contains(ca, cb) or contains(cb, ca) or coalesce(len(list_intersect(ta, tb)) / nullif(least(len(ta), len(tb)), 0), 0) >= 0.65) as similar,
@@ -80,31 +80,42 @@ select conv_id, turn, ca <> '' and cb <> '' and (contains(ca, cb) or contains(cb
 
 
 def bracket_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with the brackets in every page's style and script free text and in built cases."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.get(F.array(*[F.lit(x) for x in ("(a[b])", "(a]", "a)", "((", "{x}[y](z)", "")]), (F.col("page_id") % 6).cast("int")).alias("case"))
-    return pages.select("page_id", text.bracket_mismatch(F.col("case")).alias("mismatch"))
+    """What is wrong with the brackets in every page's whole html and in every document's whole text."""
+    pages = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").cast("long").alias("id"), F.col("html").alias("said"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("said"))
+    return pages.unionByName(docs).select("kind", "id", text.bracket_mismatch(F.col("said")).alias("mismatch"))
 
 
-BRACKETS = "select page_id, case page_id % 6 when 1 then 'mismatch' when 2 then 'no_opener' when 3 then 'unclosed' end mismatch from pages"
+BRACKETS = r"""
+with t as (select 'page' kind, page_id::bigint id, html said from pages union all select 'document', doc_id::bigint, text from documents),
+r as (select kind, id, list_reduce(list_prepend('', regexp_extract_all(coalesce(said, ''), '[\[\](){}]')), lambda s, x: case
+  when s[1] = '!' then s when x in ('(', '[', '{') then s || x when s = '' then '!no_opener'
+  when s[-1] = case x when ')' then '(' when ']' then '[' else '{' end then s[:-2] else '!mismatch' end) s from t)
+select kind, id, case when s = '' then null when s[1] = '!' then s[2:] else 'unclosed' end mismatch from r"""
 
 
 def claim_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claim types told from event types and numbers."""
-    said = F.get(F.array(*[F.lit(x) for x in ("numeric", " Causal link", "no_claim", "recent trend", "comparison", "", "수치")]), (F.col("event_id") % 7).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", text.claim_type(said).alias("claim_type"))
+    """Claim types told from the whole text of every turn."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.claim_type(F.col("text")).alias("claim_type"))
 
 
-CLAIM_TYPES = "select event_id, case event_id % 7 when 0 then 'numeric' when 1 then 'causal' when 3 then 'currentness' when 4 then 'relationship' when 5 then 'definition' when 6 then 'numeric' end claim_type from events"
+_TRIMMED = r"lower(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'))"
+CLAIM_TYPES = (
+    f"select conv_id, turn, case when t = 'no_claim' then null when t in ({', '.join(repr(x) for x in text.CLAIM_TYPES)}) then t "
+    + " ".join(f"when regexp_matches(t, '{words}') or t in ({', '.join(repr(x) for x in text._CLAIM_NAMES.get(name, ('-',)))}) then '{name}'" for name, words in text._CLAIM_WORDS)
+    + f" else 'definition' end claim_type from (select conv_id, turn, {_TRIMMED} t from conversations)"
+)
 
 
 def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct n-grams of up to three words in each benchmark text's first line, with how many texts have them."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.ngram_terms(F.split("text", "\n")[0])).alias("term"))
+    """Distinct n-grams of up to three words in each line of each benchmark text, with how many texts have them."""
+    lines = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("line"))
+    rows = lines.select("item_id", F.explode(text.ngram_terms(F.col("line"))).alias("term")).distinct()
     return rows.groupBy("term").agg(F.count("*").alias("n"), F.min("item_id").alias("first_item"))
 
 
 GLOSSARY = r"""
-with w as (select item_id, list_filter(regexp_split_to_array(string_split(text, chr(10))[1], '\s+'), lambda x: x <> '') w from benchmark),
+with w as (select item_id, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') w from (select item_id, unnest(string_split(text, chr(10))) line from benchmark)),
 g as (select distinct item_id, array_to_string(list_slice(w, i, i + n - 1), ' ') term from (select item_id, w, unnest(generate_series(1, len(w))) i from w), (select unnest([1, 2, 3]) n) where i + n - 1 <= len(w))
 select term, count(*) n, min(item_id) first_item from g where length(term) <= 28 group by term"""
 

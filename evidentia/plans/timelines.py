@@ -57,7 +57,7 @@ def row_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROW_WINDOWS = f"""
 with {_E}, w as (select *, (row_number() over (partition by user_id order by ts, event_id) - 1) // 10 window_index from e)
-select user_id, window_index, count(*) n, round(avg(value), 4) mean, round(quantile_cont(value, 0.5), 4) median, round(quantile_cont(value, 0.9), 4) p90 from w group by all"""
+select user_id, window_index, count(*) n, round(avg(value), 6) mean, round(quantile_cont(value, 0.5), 4) median, round(quantile_cont(value, 0.9), 4) p90 from w group by all"""
 
 
 def absorbed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
