@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.folds import ddl, folded
+
 
 def next_start_ranges(rows: DataFrame, keys: list[str], start: str, order: list[str], last: Column) -> DataFrame:
     """``end_sec`` of each row: the next row's start, ``last`` for the final one; two digits."""
@@ -40,11 +41,11 @@ def clusters(rows: DataFrame, keys: list[str], at: Column, order: list[str], mos
 def absorbed(groups: DataFrame, keys: list[str], kind: str, start: str, end: str, least: float) -> DataFrame:
     """Islands after short ones between two of one kind were absorbed, again and again, from left to right.
 
-    A sequential rule, so each key's islands (few per key: they are runs, not rows) are folded in one group.
+    The rule goes over all of a key's islands again until none is absorbed, so these (runs, not rows) are held at once.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(start)[[kind, start, end]].values.tolist()
+    def rule(rows: Iterator[tuple]) -> Iterator[tuple]:
+        own = [list(r) for r in rows]
         while len(own) > 2:
             out: list[list] = []
             i = 0
@@ -59,12 +60,10 @@ def absorbed(groups: DataFrame, keys: list[str], kind: str, start: str, end: str
             if len(out) == len(own):
                 break
             own = out
-        first = pdf[keys].iloc[0].tolist()
-        return pd.DataFrame([[*first, k, kind_, s, e] for k, (kind_, s, e) in enumerate(own)], columns=[*keys, "segment", kind, start, end])
+        yield from ((k, *row) for k, row in enumerate(own))
 
-    kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "segment long", f"{kind} {kinds[kind]}", f"{start} {kinds[start]}", f"{end} {kinds[end]}"])
-    return groups.select(*keys, kind, start, end).groupBy(*keys).applyInPandas(fold, schema)
+    names = [kind, start, end]
+    return folded(groups, keys, [start], names, rule, f"segment long, {ddl(groups, names)}")
 
 
 def row_windows(rows: DataFrame, keys: list[str], order: list[str], size: int, value: str) -> DataFrame:
@@ -123,65 +122,58 @@ def time_map(pieces: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
 def speech_chunks(pieces: DataFrame, keys: list[str], most: float = 180.0, least: float = 30.0) -> DataFrame:
     """Pieces ``lo, hi`` packed in order into chunks of up to ``most`` seconds; a short last one joins its neighbour.
 
-    Longer pieces are split first. Greedy packing depends on order, so each key's pieces are packed in one group.
+    Longer pieces are split first. The last two chunks of a key are held at a time.
     """
+    size = lambda chunk: sum(hi - lo for lo, hi in chunk)
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[tuple[float, float]]] = [[]]
-        held = 0.0
-        for lo, hi in pdf.sort_values("lo")[["lo", "hi"]].itertuples(index=False):
+    def rule(rows: Iterator[tuple]) -> Iterator[tuple]:
+        nr, before, chunk, held = 0, [], [], 0.0
+        for lo, hi in rows:
             while lo < hi:
                 end = min(hi, lo + most)
-                if groups[-1] and held + end - lo > most:
-                    groups.append([])
-                    held = 0.0
-                groups[-1].append((lo, end))
+                if chunk and held + end - lo > most:
+                    yield from ((nr, *x) for x in before)
+                    nr, before, chunk, held = nr + bool(before), chunk, [], 0.0
+                chunk.append((lo, end))
                 held += end - lo
                 lo = end
-        size = lambda g: sum(hi - lo for lo, hi in g)
-        if len(groups) > 1 and size(groups[-1]) < least and size(groups[-2]) + size(groups[-1]) <= most:
-            groups[-2:] = [groups[-2] + groups[-1]]
-        first = pdf[keys].iloc[0].tolist()
-        rows = [[*first, k, lo, hi] for k, g in enumerate(groups) for lo, hi in g]
-        return pd.DataFrame(rows, columns=[*keys, "chunk", "lo", "hi"])
+        yield from ((nr, *x) for x in before)
+        joined = before and size(chunk) < least and size(before) + size(chunk) <= most
+        yield from ((nr + bool(before and not joined), *x) for x in chunk)
 
-    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
-    return pieces.select(*keys, "lo", "hi").groupBy(*keys).applyInPandas(pack, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "chunk long, lo double, hi double"]))
+    return folded(pieces, keys, ["lo"], ["lo", "hi"], rule, "chunk long, lo double, hi double")
 
 
 def context_groups(rows: DataFrame, keys: list[str], order: list[str], chars: str, boundary: str, soft: int, hard: int) -> DataFrame:
     """Number of the context that each row falls in: past ``soft`` characters the next boundary ends it, past ``hard`` any row."""
-    names = [*keys, *order, chars, boundary]
+    names = [*order, chars, boundary]
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        nr, held, out = 0, 0, []
-        for size, ends in zip(pdf[chars], pdf[boundary], strict=True):
+    def rule(own: Iterator[tuple]) -> Iterator[tuple]:
+        nr, held = 0, 0
+        for row in own:
+            size, ends = row[-2] or 0, row[-1]
             if held and held + size > hard:
                 nr, held = nr + 1, 0
-            out.append(nr)
+            yield (*row, nr)
             held += size
             if ends and held >= soft:
                 nr, held = nr + 1, 0
-        return pdf.assign(context=out)
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(*names).groupBy(*keys).applyInPandas(cut, ", ".join([*(f"{c} {kinds[c]}" for c in names), "context long"]))
+    return folded(rows, keys, order, names, rule, f"{ddl(rows, names)}, context long")
 
 
 def spaced(rows: DataFrame, keys: list[str], at: str, least: float) -> DataFrame:
-    """Rows in order, less those within ``least`` (to nine digits) of the last one kept; greedy, so by key in one sorted pass."""
+    """Rows in order, less those within ``least`` (to nine digits) of the last one kept; rows without a time are left out."""
+    names = [at, *(c for c in rows.columns if c not in (*keys, at))]
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, held = None, []
-        pdf = pdf.sort_values(list(pdf.columns))
-        for value in pdf[at]:
-            ok = last is None or round(value - last, 9) > least
-            held.append(ok)
-            last = value if ok else last
-        return pdf[held]
+    def rule(own: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for row in own:
+            if row[0] is not None and (last is None or round(row[0] - last, 9) > least):
+                last = row[0]
+                yield row
 
-    return rows.groupBy(*keys).applyInPandas(keep, rows.schema)
+    return folded(rows, keys, names, names, rule, ddl(rows, names)).select(*rows.columns)
 
 
 def nearest_filled(rows: DataFrame, keys: list[str], order: str, value: str, most: float) -> DataFrame:
@@ -197,42 +189,37 @@ def nearest_filled(rows: DataFrame, keys: list[str], order: str, value: str, mos
 
 def packed(rows: DataFrame, keys: list[str], order: list[str], sizes: list[str], limits: list[float]) -> DataFrame:
     """Rows packed in order into batches that keep every sum within its limit; a row over a limit is alone."""
-    names = [*keys, *order, *sizes]
+    names = [*order, *sizes]
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        nr, held, out = 0, [0.0] * len(sizes), []
-        for row in pdf[sizes].itertuples(index=False):
-            if any(held) and any(h + x > most for h, x, most in zip(held, row, limits, strict=True)):
+    def rule(own: Iterator[tuple]) -> Iterator[tuple]:
+        nr, held = 0, [0.0] * len(sizes)
+        for row in own:
+            asked = [x or 0.0 for x in row[len(order) :]]
+            if any(held) and any(h + x > most for h, x, most in zip(held, asked, limits, strict=True)):
                 nr, held = nr + 1, [0.0] * len(sizes)
-            held = [h + x for h, x in zip(held, row, strict=True)]
-            out.append(nr)
-        return pdf.assign(batch=out)
+            held = [h + x for h, x in zip(held, asked, strict=True)]
+            yield (*row, nr)
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(*names).groupBy(*keys).applyInPandas(pack, ", ".join([*(f"{c} {kinds[c]}" for c in names), "batch long"]))
+    return folded(rows, keys, order, names, rule, f"{ddl(rows, names)}, batch long")
 
 
 def tracked_state(rows: DataFrame, keys: list[str], order: list[str], value: str, high: float, low: float) -> DataFrame:
     """Writing episodes: one begins at a value of ``high`` or more, ends at ``low`` or less; start, end, peak and rows."""
-    names = [*keys, *order, value]
-
-    def run(groups: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        pdf = groups.sort_values(order)
-        out, state = [], None
-        first = pdf[keys].iloc[0].tolist()
-        for at, x in zip(pdf[order[-1]], pdf[value], strict=True):
-            if state is None and x >= high:
-                state = [at, at, x, 1]
-            elif state is not None:
-                state = [state[0], at, max(state[2], x), state[3] + 1]
+
+    def rule(own: Iterator[tuple]) -> Iterator[tuple]:
+        state = None
+        for at, x in own:
+            if x is None:
+                continue
+            if state is not None:
+                state = (state[0], at, max(state[2], x), state[3] + 1)
                 if x <= low:
-                    out.append([*first, *state])
+                    yield state
                     state = None
+            elif x >= high:
+                state = (at, at, x, 1)
         if state is not None:
-            out.append([*first, *state])
-        return pd.DataFrame(out, columns=[*keys, "start_at", "end_at", "peak", "n"])
+            yield state
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    o = kinds[order[-1]]
-    return rows.select(*names).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"start_at {o}, end_at {o}, peak double, n long"]))
+    o = rows.schema[order[-1]].dataType.simpleString()
+    return folded(rows.withColumn(value, F.col(value).cast("double")), keys, order, [*order[-1:], value, *order[:-1]], lambda own: rule(r[:2] for r in own), f"start_at {o}, end_at {o}, peak double, n long")
\ No newline at end of file
