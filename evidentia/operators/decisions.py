@@ -33,14 +33,15 @@ def needs_repair(best: Column, directed: Column, weak_official: Column, status:
     return F.when(best <= GOVERNMENT, False).otherwise(F.coalesce(some, F.lit(False)))
 
 
-def passages_of(sources: DataFrame, passages: DataFrame, url: str, passage: str) -> DataFrame:
-    """Each address with the passages reported for it or for its domain: ``url, passage``.
+def passages_of(sources: DataFrame, passages: DataFrame, url: str, *told: Column) -> DataFrame:
+    """Each address with what is ``told`` (aggregates) of the passages reported for it or for its domain.
 
-    Equal addresses have equal domains, so one equi-join on the domain finds both; addresses without a domain need equal ones.
+    Equal addresses have equal domains, so one equi-join on the domain finds both; addresses without a domain need
+    equal ones. Passages are aggregated before the join, so a domain of very many pages costs one row.
     """
     key = lambda c: F.coalesce(F.nullif(domain(F.col(c)), F.lit("")), F.col(c))
     own = sources.select(F.col(url).alias("url"), key(url).alias("_d")).filter("url <> ''").distinct()
-    return own.join(passages.filter(F.col(url) != "").select(key(url).alias("_d"), passage), "_d").drop("_d")
+    return own.join(passages.filter(F.col(url) != "").groupBy(key(url).alias("_d")).agg(*told), "_d").drop("_d")
 
 
 def clean_finals(rows: DataFrame, scene: str, kind: str, name: str, order: Sequence[str]) -> DataFrame:

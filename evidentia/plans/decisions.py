@@ -30,16 +30,15 @@ select l_orderkey, status, direct_evidence, best_priority, coalesce(best_priorit
 
 
 def reported_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many pages are reported for every seventh page's address or its domain."""
+    """How many pages are reported for every page's address or its domain."""
     pages = table(spark, sf_dir, "pages").select("url", "page_id")
-    found = decisions.passages_of(pages.filter("page_id % 7 = 0"), pages, "url", "page_id")
-    return found.groupBy("url").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"), F.sum("page_id").alias("sum_pages"))
+    return decisions.passages_of(pages, pages, "url", F.count("*").alias("n"), F.min("page_id").alias("first_page"), F.sum("page_id").alias("sum_pages"))
 
 
 REPORTED = """
 with p as (select page_id, url, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') d from pages where url <> ''),
 k as (select page_id, url, coalesce(nullif(d, ''), url) d from p), a as (select d, count(*) n, min(page_id) first_page, sum(page_id)::bigint sum_pages from k group by 1)
-select distinct url, n, first_page, sum_pages from k join a using (d) where page_id % 7 = 0"""
+select distinct url, n, first_page, sum_pages from k join a using (d)"""
 
 
 def clean_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +163,7 @@ select doc_id, kind, case when kind = 'visual_defect' then p <> '' else p <> ''
 
 def scalar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loose fields of lines: probabilities, times of frames, overlaps, filled names, keys and job types."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
+    rows = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity").cast("double")
     box = lambda x: {"x1": x, "y1": F.lit(0.0), "x2": x + 20, "y2": F.lit(10.0)}
     return rows.select(
@@ -184,7 +183,7 @@ def scalar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCALARS = """
-with l as (select *, l_quantity::double q, l_linenumber n from lineitem where l_linenumber <= 3)
+with l as (select *, l_quantity::double q, l_linenumber n from lineitem)
 select l_orderkey, l_linenumber, case when n <> 2 and q >= 10 then q - 10 end p, case when n = 3 then -1 else q end x, round(case when n > 1 then q / 30 else 0 end, 6) "at", round(case when n * 8 < 20 then (20 - n * 8) / (20 + n * 8) else 0 end::double, 6) iou,
   coalesce(nullif(trim(case when n = 1 then '  ' else l_linestatus end), ''), l_returnflag, '') "name", case n when 1 then l_returnflag || ',' || l_linestatus when 2 then coalesce(l_linestatus, '') else '' end contexts, case when l_returnflag = l_linestatus then 1 else 2 end kept,
   'full' job, case when n = 1 then l_linestatus else l_returnflag || '::' || l_linestatus end "key", case when n = 1 then 'C1' else 'list:' || n || ':' || sha1(l_linestatus)[:12] end "identity" from l"""

@@ -159,13 +159,13 @@ select *, case when overall >= 85 then 'A' when overall >= 70 then 'B' when over
 def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full outer merge by customer of order and balance facts: first, last and total, the dearest order's key."""
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.min("o_orderdate").alias("first_at"), F.max("o_orderdate").alias("last_at"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max(F.struct("o_totalprice", (-F.col("o_orderkey")).alias("k"))).alias("best"))
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.round("c_acctbal", 2).alias("balance")).filter("key % 3 <> 0")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.round("c_acctbal", 2).alias("balance")).filter("balance >= 0")
     return orders.join(customers, "key", "full").select("key", "first_at", "last_at", "total", (-F.col("best.k")).alias("best_key"), "balance")
 
 
 MERGED = """
 with o as (select o_custkey key, min(o_orderdate) first_at, max(o_orderdate) last_at, round(sum(o_totalprice), 2) total, first(o_orderkey order by o_totalprice desc, o_orderkey) best_key from orders group by 1)
-select key, first_at, last_at, total, best_key, balance from o full join (select c_custkey key, round(c_acctbal, 2) balance from customer where c_custkey % 3 <> 0) using (key)"""
+select key, first_at, last_at, total, best_key, balance from o full join (select c_custkey key, round(c_acctbal, 2) balance from customer where round(c_acctbal, 2) >= 0) using (key)"""
 
 
 def replaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
