@@ -89,16 +89,18 @@ select doc_id, judgment, valid, severity, unresolved, round(valid * severity * u
 def evidence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages from answers in several forms, one row each: pages as the evidence, whole html as the quote."""
     rows = table(spark, sf_dir, "pages")
-    own = lambda name: F.to_json(F.struct(F.col("url").alias("source_url"), F.col("html").alias(name), F.when(F.col("page_id") % 3 == 0, "supports_issue").otherwise("maybe").alias("status")))
+    said = lambda name: F.to_json(F.struct(F.col("url").alias("source_url"), F.col("html").alias(name), F.when(F.col("page_id") % 3 == 0, "supports_issue").otherwise("maybe").alias("status")))
+    # Back quotes of the pages are written as escapes, so that they aren't taken for fences.
+    own = lambda name: F.replace(said(name), F.lit("`"), F.lit(r"\u0060"))
     fence = lambda c: F.concat(F.lit("Here:\n```json\n"), c, F.lit("\n```"))
     listed = F.concat(F.lit("["), own("paragraph"), F.lit(', {"id": "own", "sentence": "s"}]'))
     payload = F.when(F.col("page_id") % 4 == 0, own("text")).when(F.col("page_id") % 4 == 1, fence(listed)).when(F.col("page_id") % 4 == 2, listed).otherwise("no json")
-    rows = rows.filter(~F.col("html").contains("```")).select("page_id", F.explode(payloads.passages(payload)).alias("p"))
+    rows = rows.select("page_id", F.explode(payloads.passages(payload)).alias("p"))
     return rows.select("page_id", "p.id", "p.url", F.md5(F.col("p.quote").cast("binary")).alias("quote_md5"), "p.key_sentence", "p.stance")
 
 
 PASSAGES = r"""
-with p as (select page_id, url, md5(trim(html, ' ')) quote_md5, case when page_id % 3 = 0 then 'supports_issue' else 'insufficient_evidence' end stance from pages where not contains(html, '```'))
+with p as (select page_id, url, md5(trim(html, ' ')) quote_md5, case when page_id % 3 = 0 then 'supports_issue' else 'insufficient_evidence' end stance from pages)
 select page_id, 'E1' id, url, quote_md5, '' key_sentence, stance from p where page_id % 4 < 3 union all select page_id, 'own', '', md5(''), 's', 'insufficient_evidence' from p where page_id % 4 in (1, 2)"""
 
 
