@@ -116,10 +116,108 @@ select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, coalesce(low.y, d.
 from d left join n using (doc_id) left join low on low.x = d.doc_id
 """
 
+_FAR = "{c: 1000000000, a: '', r: ''}"
+
+
+def _grown(state: str, cost: str, letter: str, row: str) -> str:
+    return f"{{c: {state}.c + {cost}, a: {state}.a || {letter}, r: {state}.r || {row}}}"
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+_NEW_USER, _NEW_ANSWER = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+_INS_U = _least("u", *[_grown(x, "2", "'I'", _NEW_USER) for x in ("o", "s", "a")])
+_INS_A = _least("a", _grown("u", "2", "'I'", _NEW_ANSWER))
+_ENTER = "(case when ini = '{0}' then 'K' else 'R' end)", "(t + case when ini = '{0}' then 0 else 2 end)", "chr(10) || case when ini = '{0}' then role else '{1}' end || ':' || text"
+
+
+def _entered(state: str, initial: str, role: str) -> str:
+    letter, cost, row = (x.format(initial, role) for x in _ENTER)
+    return f"case when must then {_FAR} else {_grown(state, cost, letter, row)} end"
+
+
+OP11 = rf"""
+with recursive tab as materialized (
+  select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+src as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, xor(list_reduce(list_concat([4294967295], list_transform(string_split(
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ord(x) as bigint))), lambda c, b: xor(c >> 8, tab.t[1 + (xor(c, b) & 255)])), 4294967295) % 20 k
+  from conversations, tab),
+dam as (
+  select conv_id, turn, case k when 4 then 'user' else role end as role, case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case k when 3 then [1, 2] else [1] end) nth
+  from src where k != 0),
+convs as materialized (select row_number() over () conv, conv_id from (select distinct conv_id from conversations)),
+ord as (
+  select conv, turn, role, text, row_number() over w i, lag(role[1]) over w || role[1] pair,
+    row_number() over (partition by conv, role, text order by turn nulls first, nth) > 1 seen, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') bare
+  from dam join convs on dam.conv_id is not distinct from convs.conv_id
+  window w as (partition by conv order by turn nulls first, role, sha256(text), nth)),
+rows as materialized (
+  select *, role[1] ini, bare = '' blank, bare != '' and seen dup, bare != '' and not seen and right(bare, 1) not in ('.', '!', '?') cut,
+    bare = '' or seen must, case when right(bare, 1) in ('.', '!', '?') then 0 else 1 end t from ord),
+sums as (
+  select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (blank) blank, count(*) filter (dup) dup, count(*) filter (cut) cut,
+    count(*) filter (pair not in ('su', 'ua', 'au')) illegal, max(i) n
+  from rows group by conv),
+dp as (
+  select conv, 0 i, {{c: 0, a: '', r: ''}} o, {_FAR} s, {_FAR} u, {_FAR} a from convs
+  union all
+  select conv, i, {_grown('o', '3', "'D'", "''")} o,
+    {_least(_grown('s', '3', "'D'", "''"), f"case when must or ini != 's' then {_FAR} else {_grown('o', 't', repr('K'), "chr(10) || role || ':' || text")} end")} s,
+    {_least(_grown('u', '3', "'D'", "''"), *[_entered(x, 'u', 'user') for x in ('o', 's', 'a')])} u,
+    {_least(_grown('a', '3', "'D'", "''"), _entered('u', 'a', 'assistant'))} a
+  from (
+    select conv, i, role, text, must, t, ini, o, s, u, {_INS_A} a from (
+      select dp.conv, rows.i, role, text, must, t, ini, o, s, {_INS_U} u, a from dp join rows on dp.conv = rows.conv and rows.i = dp.i + 1))),
+best as (
+  select conv, {_least('o', 'a')} b from (
+    select conv, o, {_INS_A} a from (select dp.conv, o, {_INS_U} u, a from dp left join sums using (conv) where dp.i = coalesce(n, 0))))
+select conv_id, cast(coalesce(gaps, 0) as bigint) gaps, coalesce(blank, 0) blank, coalesce(dup, 0) duplicate, coalesce(cut, 0) truncated, coalesce(illegal, 0) illegal,
+  cast(b.c as bigint) cost, b.a as audit, sha256(b.r[2:]) repaired_sha256
+from convs left join sums using (conv) join best using (conv)
+"""
+
+OP12 = rf"""
+with d as (
+  select doc_id, coalesce(cast(source as varchar), '') part, coalesce(text, '') t from documents),
+f as (
+  select doc_id, part, len(w) < 50 a, 100 * len(list_distinct(w)) < 65 * len(w) b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) c, regexp_matches(t, '[#$%&*|]') d,
+    coalesce(doc_id > min(doc_id) over (partition by t), false) e
+  from (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w from d)),
+l as (select doc_id, max(coalesce(quality = 1, false)) good, max(coalesce(toxic = 1, false)) toxic from labels group by doc_id),
+r as (select f.*, coalesce(good, false) good, coalesce(l.toxic, false) toxic from f left join l using (doc_id)),
+parts as (select distinct part from d),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) x),
+orders as (select a.x || b.x || c.x || d.x || e.x filter_order from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+long as (
+  select part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [a, b, c, d, e][i]) fails from r),
+counted as (select part, fails, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic from long group by all),
+steps as (select filter_order, step, filter_order[step] own, filter_order[:step - 1] before from orders, (select unnest([1, 2, 3, 4, 5]) step)),
+seen as (
+  select part, filter_order, step, own, n, good, toxic, fails, list_contains(fails, own) failing,
+    len(list_filter(fails, lambda x: contains(before, x))) > 0 gone
+  from steps, parts left join counted using (part)),
+out as (
+  select part, filter_order, step, own, coalesce(sum(n) filter (not failing and not gone), 0) kept, coalesce(sum(n) filter (failing and not gone), 0) removed,
+    coalesce(sum(n) filter (failing and gone), 0) redundant, coalesce(sum(n) filter (fails = [own]), 0) unique_fails,
+    coalesce(sum(good) filter (failing and not gone), 0) good_lost, coalesce(sum(toxic) filter (failing and not gone), 0) toxic_lost
+  from seen group by all)
+select part, filter_order, cast(step as integer) step, cast(kept as bigint) kept, cast(removed as bigint) removed, cast(redundant as bigint) redundant,
+  cast(unique_fails as bigint) unique_fails, cast(good_lost as bigint) good_lost, cast(toxic_lost as bigint) toxic_lost,
+  cast(sum(removed) over (partition by part, own) as bigint) shapley
+from out
+"""
+
 ORACLES: dict[str, str] = {
     "op1_jaccard": OP1,
     "op2_licenses": OP2,
     "op4_mixing": OP4,
     "op5_decontamination": OP5,
     "op9_substrings": OP9,
+    "op11_repair": OP11,
+    "op12_audit": OP12,
 }

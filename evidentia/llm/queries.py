@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import classifier, decontamination, jaccard, licenses, media, mixing, pages, pii, secrets, substrings
+from evidentia.llm import audit, classifier, decontamination, jaccard, licenses, media, mixing, packing, pages, pii, repair, secrets, substrings
 from evidentia.llm.keys import keyed
 from evidentia.sources.session import table
 
@@ -97,6 +97,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, for each source."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences, each of them in the sources' proportions."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_licenses": op2_licenses,
@@ -108,4 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substrings": op9_substrings,
     "op10_media": op10_media,
+    "op11_repair": op11_repair,
+    "op12_audit": op12_audit,
+    "op13_packing": op13_packing,
 }
