@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.keys import in_small_batches
 from evidentia.sources.session import checkpointed
 
 #: Importance under which a branch is left out, the same for branches that a part of a class name hints at, and what
@@ -24,15 +26,18 @@ BELOW = 0.9
 #: Rows (site and branch) of the list of low branches that may be sent to every task; more take a salted join.
 BROADCAST_BRANCHES = 500_000
 SALTS = 64
+#: Levels of the style tree; an element that stands deeper counts as the one above it at that level. Texts don't depend on it.
+LEVELS = 64
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+FOREIGN = frozenset("svg math".split())
 RAW = frozenset("script style noscript iframe noembed noframes textarea title xmp template".split())
-NOISE = frozenset("nav footer aside form script style noscript iframe template svg math button select textarea dialog menu object canvas audio video map head title".split())
+NOISE = frozenset("nav footer aside script style noscript iframe template svg math button select textarea dialog menu object canvas audio video map head title".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _NOISY_WORDS = (
     r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|side-?bar|cookies?|consent|gdpr|notice|notices|alert|banner|comments?|discuss\w*|disqus|respond|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|bread-?crumbs?|menu|nav|navbar|navigation|footer|masthead|popup|modal|login|search|pagination|pager|widget)"
 )
@@ -44,55 +49,97 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _DIGITS = re.compile(r"[0-9]+")
 
 
-@dataclass
-class Block:
-    """A block's branch in the style tree, its text, and what the markup says about it."""
-
-    path: str
-    article: str
-    text: str
-    noise: bool
-    hinted: bool
-
-    @property
-    def branch(self) -> int:
-        return _hash(self.path)
+#: Whole names of readers' comments; an article with one, in another article or a main element, is a comment.
+_COMMENT_NAME = re.compile(r"(?:comments?|comment-\S+|discuss\w*|respond|reply|replies)", re.IGNORECASE)
 
 
 @dataclass
-class _Open:
-    tag: str
-    path: str
-    noise: bool
-    hinted: bool
-    article: str
+class Element:
+    """An element of a page: its parent's number, its place in the style tree, and what its own markup says of it."""
 
+    tag: str
+    parent: int
+    level: int
+    path: int
+    article: bool = False
+    top: bool = False
+    hinted: bool = False
+    strong: bool = False
+    weak: bool = False
 
-def _noisy(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, bool]:
-    """Whether the markup tells an element to be no main text, and whether it only hints at that.
 
-    A name counts as a whole; inside an article a part of a name, as in ``related-work``, is a hint for the tree.
+@dataclass
+class Page:
+    """A page's elements, each after its parent, and its text blocks in order with the numbers of their elements."""
+
+    elements: list[Element] = field(default_factory=lambda: [Element("", -1, 0, _hash(""))])
+    blocks: list[tuple[int, str]] = field(default_factory=list)
+
+    def noise(self) -> list[bool]:
+        """Whether each element is no main text.
+
+        What names or a form only suggest (``weak``) doesn't hold for a wrapper: an element that holds the page's
+        article, or more than half of the text where there is none. The page's articles are those that nothing above
+        them speaks against, or else the longest one that only names or forms above it speak against.
+        """
+        n = len(self.elements)
+        size, strong, doubted = [0] * n, [False] * n, [False] * n
+        for k, e in enumerate(self.elements):
+            if k:
+                strong[k], doubted[k] = strong[e.parent] or e.strong, doubted[e.parent] or e.weak
+        for k, text in self.blocks:
+            size[k] += 0 if strong[k] else len(text)
+        for k in range(n - 1, 0, -1):
+            size[self.elements[k].parent] += size[k]
+        articles = [k for k, e in enumerate(self.elements) if e.top and size[k] and not strong[k]]
+        wrappers: set[int] = set()
+        if articles and not any(not doubted[k] for k in articles):
+            k = max(articles, key=lambda k: size[k])
+            while k:
+                wrappers.add(k)
+                k = self.elements[k].parent
+        elif not articles:
+            wrappers = {k for k in range(n) if 2 * size[k] > size[0]}
+        out = [False] * n
+        for k, e in enumerate(self.elements):
+            if k:
+                out[k] = out[e.parent] or e.strong or (e.weak and k not in wrappers)
+        return out
+
+
+def _noisy(tag: str, attributes: dict[str, str], inside: str) -> tuple[bool, bool, bool]:
+    """Whether an element's own markup tells it to be no main text, suggests it, and whether it hints at it to the tree.
+
+    ``inside`` is the tag of the article or main element around. A name counts as a whole; inside an article a part of
+    a name, as in ``related-work``, is a hint for the tree alone.
     """
-    if tag in NOISE or "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or attributes.get("role", "").strip().lower() in ROLES:
-        return True, False
-    if tag == "header" and not in_article:
-        return True, False
-    if tag in ("html", "body", "article", "main"):
-        return False, False
+    role = attributes.get("role", "").strip().lower()
+    if tag in NOISE or "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or role in ROLES:
+        return True, False, False
+    if (tag == "header" and not inside) or tag == "form" or role == "form":
+        return False, True, False
+    if tag in ("html", "body", "main"):
+        return False, False, False
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    if tag == "article":
+        rule = _NOISY_NAME if inside == "article" else _COMMENT_NAME
+        return bool(inside) and any(rule.fullmatch(name) or _COMMENT_NAME.fullmatch(name) for name in names.split()), False, False
     part = bool(_NOISY_PART.search(names))
     whole = any(_NOISY_NAME.fullmatch(name) for name in names.split())
-    return whole or (part and not in_article), part
+    return False, whole or (part and not inside), part
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def blocks(source: str) -> list[Block]:
-    """The text blocks of a page in order; ``article`` is empty outside ``article`` and ``main`` elements."""
-    out: list[Block] = []
-    stack = [_Open("", "", False, False, "")]
+def parsed(source: str) -> Page:
+    """A page's elements and text blocks; the work follows the page's length, however deep its elements stand."""
+    page = Page()
+    elements = page.elements
+    stack = [0]
+    around = [""]
+    open_tags: Counter[str] = Counter()
     said: list[str] = []
     at = 0
 
@@ -100,11 +147,21 @@ def blocks(source: str) -> list[Block]:
         text = " ".join(html.unescape("".join(said)).split())
         said.clear()
         if text:
-            top = stack[-1]
-            out.append(Block(top.path, top.article, text, top.noise, top.hinted))
-
-    def close(upto: int) -> None:
-        del stack[upto:]
+            page.blocks.append((stack[-1], text))
+
+    def pop() -> None:
+        open_tags[elements[stack.pop()].tag] -= 1
+        around.pop()
+
+    def push(tag: str, name: str, attributes: dict[str, str]) -> None:
+        up, inside = elements[stack[-1]], around[-1]
+        strong, weak, hinted = _noisy(tag, attributes, inside if tag not in INLINE else "article")
+        own = tag in ("article", "main")
+        path = _hash(f"{up.path}/{name}") if up.level < LEVELS else up.path
+        elements.append(Element(tag, stack[-1], min(LEVELS, up.level + 1), path, up.article or own, own and not inside, up.hinted or hinted, strong, weak))
+        stack.append(len(elements) - 1)
+        around.append(tag if own else inside)
+        open_tags[tag] += 1
 
     while at < len(source):
         m = _TOKEN.search(source, at)
@@ -117,48 +174,46 @@ def blocks(source: str) -> list[Block]:
         if not tag or (m[4] == "" and m.end() == len(source)):
             continue
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if tag not in INLINE:
+            if tag not in INLINE or open_tags[tag]:
                 flush()
-            if depth:
-                close(depth)
+            if open_tags[tag]:
+                while elements[stack[-1]].tag != tag:
+                    pop()
+                pop()
             continue
         attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {}
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
             at = end.end() if end else len(source)
             continue
+        if m[3].endswith("/") and (tag in FOREIGN or any(open_tags[x] for x in FOREIGN)):
+            continue
         if tag in INLINE:
             if tag == "br":
                 said.append(" ")
-            if tag not in VOID and _noisy(tag, attributes, True)[0]:
+            if tag not in VOID and any(_noisy(tag, attributes, "article")[:2]):
                 flush()
-                stack.append(_Open(tag, f"{stack[-1].path}/{tag}", True, stack[-1].hinted, stack[-1].article))
+                push(tag, tag, attributes)
             continue
         flush()
         shut = set(CLOSES.get(tag, ())) | ({"p"} if tag in ENDS_P else set())
-        while len(stack) > 1 and stack[-1].tag in shut:
-            close(len(stack) - 1)
+        while len(stack) > 1 and elements[stack[-1]].tag in shut:
+            pop()
         if tag in VOID:
             continue
-        above = stack[-1]
-        name = tag + "." + _DIGITS.sub("0", ".".join(sorted(attributes.get("class", "").lower().split()))) if attributes.get("class") else tag
-        path = f"{above.path}/{name}"
-        article = above.article or (path if tag in ("article", "main") else "")
-        noise, hinted = _noisy(tag, attributes, bool(above.article))
-        stack.append(_Open(tag, path, above.noise or noise, above.hinted or hinted, article))
+        push(tag, tag + "." + _DIGITS.sub("0", ".".join(sorted(attributes.get("class", "").lower().split()))) if attributes.get("class") else tag, attributes)
     flush()
-    return out
+    return page
 
 
 def main_text(source: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[str, int]:
     """The main text of a page, given the branches that its site's style tree finds unimportant, and how many blocks these take."""
-    found = blocks(source)
-    important = [b for b in found if b.branch not in low]
-    kept = [b for b in important if b.article and not b.noise]
-    if not any(b.article and not b.noise for b in found):
-        kept = [b for b in important if not b.noise]
-    return "\n".join(b.text for b in kept), len(found) - len(important)
+    page = parsed(source)
+    noise = page.noise()
+    clear = [(k, text) for k, text in page.blocks if not noise[k]]
+    inside = [(k, text) for k, text in clear if page.elements[k].article]
+    kept = [text for k, text in inside or clear if page.elements[k].path not in low]
+    return "\n".join(kept), sum(page.elements[k].path in low for k, _ in page.blocks)
 
 
 #: Sorts of a node's values: texts of its blocks, and presentations (the names of its children in order).
@@ -168,24 +223,32 @@ _NODES = "host string, node long, above array<long>, article boolean, hinted boo
 
 def page_nodes(source: str) -> set[tuple[int, tuple[int, ...], bool, bool, int, int]]:
     """A page's share of its site's tree: ``node, above, article, hinted, kind, value``, each once."""
-    own, children, kinds = set(), {}, {}
-    for b in blocks(source):
-        steps = b.path.split("/")
-        paths = ["/".join(steps[: k + 1]) for k in range(len(steps))]
-        for parent, child in zip(paths, paths[1:]):
-            children.setdefault(parent, {})[child] = None
-            children.setdefault(child, {})
-        for path in paths:
-            inside, hinted = kinds.get(path, (False, True))
-            kinds[path] = (inside or bool(b.article) and path.startswith(b.article), hinted and b.hinted)
-        own.add((b.path, CONTENT, _hash(b.text)))
-    own |= {(path, PRESENTATION, _hash(" ".join(below))) for path, below in children.items()}
-    out = set()
-    for path, kind, value in own:
-        steps = path.split("/")
-        above = tuple(_hash("/".join(steps[: k + 1])) for k in range(len(steps) - 1))
-        out.add((_hash(path), above, *kinds.get(path, (False, False)), kind, value))
-    return out
+    page = parsed(source)
+    below: dict[int, dict[int, None]] = {}
+    marks: dict[int, tuple[bool, bool]] = {}
+    above: dict[int, tuple[int, ...]] = {}
+    met: set[int] = set()
+    own = set()
+    for k, text in page.blocks:
+        own.add((page.elements[k].path, CONTENT, _hash(text)))
+        fresh = []
+        while k >= 0 and k not in met:
+            met.add(k)
+            fresh.append(k)
+            k = page.elements[k].parent
+        for k in reversed(fresh):
+            e = page.elements[k]
+            inside, hinted = marks.get(e.path, (False, True))
+            marks[e.path] = inside or e.article, hinted and e.hinted
+            below.setdefault(e.path, {})
+            up = page.elements[e.parent].path if e.parent >= 0 else e.path
+            if up == e.path:
+                above.setdefault(e.path, ())
+            else:
+                below[up][e.path] = None
+                above.setdefault(e.path, (*above[up], up))
+    own |= {(path, PRESENTATION, _hash(" ".join(map(str, children)))) for path, children in below.items()}
+    return {(path, above[path], *marks[path], kind, value) for path, kind, value in own}
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +333,7 @@ def extract(pages: DataFrame) -> DataFrame:
     cut; repeated rows give the same text and count once in the tree; an empty table gives no rows.
     """
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
-    pages = pages.select(F.col("page_id"), F.col("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
+    pages = in_small_batches(pages).select(F.col("page_id"), F.col("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     low = checkpointed(low_branches(pages))
     lists = low.groupBy("host").agg(F.collect_set("branch").alias("low"))
     if low.limit(BROADCAST_BRANCHES + 1).count() <= BROADCAST_BRANCHES:
