@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from evidentia.sources.session import checkpointed, stored
 
 #: Ratio of the largest to the smallest set size of a band.
 BAND_RATIO = 1.5
-#: Partitions beyond those that the distance bound needs, as a share of the bound.
-SPARE = 0.12
+#: Elements that two sets may differ in within a partition, and the second-level partitions it is cut into.
+INNER, CUTS = 1, 3
+#: Partitions beyond those that the distance bound needs, as a share of them.
+SPARE = 0.04
 #: Further partitionings for sets that leave too many partitions of the others empty.
 FAMILIES = 4
 #: A bucket of more sets is hot. Pairs in it only matter between sets that may have no other bucket in common;
@@ -29,6 +32,8 @@ SKETCH_BITS = 1024
 #: Set ids that a task remembers, so that it signs copies once.
 _REMEMBERED = 1 << 20
 _SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
+#: Odd factors that tell the places in a subset apart.
+_TURNS = words.mix(np.arange(CUTS - INNER, dtype=np.uint64)) | np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -84,14 +89,21 @@ def set_id(shingles: np.ndarray) -> int:
         return int(words.mix(np.array([total ^ (np.uint64(len(shingles)) * np.uint64(0x9E3779B97F4A7C15))]))[0].astype(np.int64))
 
 
-def signatures(shingles: np.ndarray, like: Similarity) -> list[tuple[np.ndarray, int, int]]:
-    """PartEnum signatures of a set as ``(hashes, band, slack)``.
+#: The subsets of second-level partitions that are enumerated: all but ``INNER`` of them.
+SUBSETS = list(combinations(range(CUTS), CUTS - INNER))
+
+
+def signatures(shingles: np.ndarray, like: Similarity) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
+    """PartEnum signatures of a set as ``(hashes, partitions, band, slack)``.
 
     Two linked sets lie in one band of sizes, or the smaller one is near the next band and signs for it too. In a
-    band whose largest size allows a distance of k, the shingle domain is parted in k + 1 + m ranges. Linked
-    sets agree on all but k of them, so on m + 1 at least; each non-empty range gives one signature. ``slack`` is
-    m less the set's own empty ranges: a set with slack 0 or more shares a non-empty range with every partner. A
-    set with less signs under another partitioning too; only two such sets can need it, and both have it.
+    band whose largest size allows a distance of k, the shingle domain is cut in k div 2 + 1 + m partitions. Linked
+    sets differ in two elements or more in at most k div 2 of them, so in m + 1 partitions at least they differ in
+    one element or none. Each partition is cut into three, and each subset of two of these gives a signature: one
+    element stands in one of the three only, so the sets agree on the subset without it. A subset without elements
+    gives no signature. ``slack`` is m less the partitions in which the set has such a subset: a set with slack 0 or
+    more shares a signature with every partner. A set with less signs under another partitioning too; only two such
+    sets can need it, and both have it.
     """
     out = []
     size = len(shingles)
@@ -100,20 +112,26 @@ def signatures(shingles: np.ndarray, like: Similarity) -> list[tuple[np.ndarray,
     while band == 0 or _TOPS[band - 1] + 1 <= max(reach, size):
         k = like.distance(int(_TOPS[band]))
         if k:
-            spare = 1 + int(k * SPARE)
-            n = k + 1 + spare
+            need = k // (INNER + 1) + 1
+            spare = 1 + int(need * SPARE)
+            n = need + spare
             for family in range(FAMILIES):
                 own = shingles if family == 0 else np.sort(words.mix(shingles + np.uint64(family)))
-                part = ((own >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+                part = ((own >> np.uint64(32)) * np.uint64(n * CUTS)) >> np.uint64(32)
                 heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                sums = np.add.reduceat(words.mix(own), heads)
-                where = part[heads] + (np.uint64(band * FAMILIES + family) << np.uint64(40))
-                slack = spare - (n - len(heads))
-                out.append((words.mix(sums ^ words.mix(where)), band * FAMILIES + family, slack))
+                sums = np.zeros(n * CUTS, np.uint64)
+                sums[part[heads].astype(np.int64)] = words.mix(np.add.reduceat(words.mix(own), heads))
+                sums = sums.reshape(n, CUTS)
+                told = np.stack([words.mix(words.mix(sums[:, subset]) * _TURNS).sum(axis=1, dtype=np.uint64) for subset in SUBSETS], axis=1)
+                full = np.stack([sums[:, subset].any(axis=1) for subset in SUBSETS], axis=1)
+                where = np.arange(n * len(SUBSETS), dtype=np.uint64).reshape(n, len(SUBSETS)) + (np.uint64(band * FAMILIES + family) << np.uint64(40))
+                slack = spare - int((~full).any(axis=1).sum())
+                rows = np.repeat(np.arange(n), len(SUBSETS)).reshape(n, len(SUBSETS))[full]
+                out.append((words.mix(told[full] ^ words.mix(where[full])), rows, band * FAMILIES + family, slack))
                 if slack >= 0:
                     break
             else:
-                out.append((words.mix(np.array([band + (1 << 60)], np.uint64)), band * FAMILIES + FAMILIES - 1, 0))
+                out.append((words.mix(np.array([band + (1 << 60)], np.uint64)), np.zeros(1, np.int64), band * FAMILIES + FAMILIES - 1, 0))
         band += 1
     return out
 
@@ -154,10 +172,10 @@ def _signed(like: Similarity):
                     if len(seen) >= _REMEMBERED:
                         seen.clear()
                     seen.add(node)
-                    for hashed, band, slack in signatures(own, like):
+                    for hashed, partitions, band, slack in signatures(own, like):
                         hashes.append(hashed.view(np.int64))
                         nodes.append(np.full(len(hashed), node))
-                        tags.append(np.full(len(hashed), band * 4096 + min(max(slack, 0), 4095), np.int32))
+                        tags.append((band * 4096 + min(max(slack, 0), 4095) << 32) + partitions)
                 if hashes:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(tags))], ["signature", "node", "tag"])
 
@@ -209,7 +227,7 @@ class _Join:
 
     def members(self) -> DataFrame:
         """``signature, node, tag, low, n`` of every signature that several sets have."""
-        signed = self.docs.select("text").mapInArrow(_signed(self.like), "signature long, node long, tag int")
+        signed = self.docs.select("text").mapInArrow(_signed(self.like), "signature long, node long, tag long")
         shared = signed.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").cast("int").alias("n")).filter("low < high").drop("high")
         shared = stored(shared)
         return stored(maybe_in(signed, shared.select("signature"), "signature").join(shared, "signature").distinct())
@@ -239,13 +257,14 @@ class _Join:
     def cold_pairs(self, members: DataFrame) -> DataFrame:
         """Pairs ``a, b`` that share cold buckets often enough.
 
-        A linked set agrees with its partner on more than ``slack`` non-empty ranges; at most ``hot`` of them are
-        hot, so at least ``need`` are cold.
+        A linked set shares signatures with its partner in more than ``slack`` partitions; at most ``hot`` of these
+        have a hot one, so at least ``need`` don't.
         """
-        cold = members.filter(F.col("n") <= HOT).select("signature", "node", "band", F.greatest(F.col("slack") + 1 - F.col("hot"), F.lit(1)).alias("need"))
-        one = cold.select("signature", "band", F.col("node").alias("a"), F.col("need").alias("need_a"))
+        cold = members.filter(F.col("n") <= HOT).select("signature", "node", "band", "part", F.greatest(F.col("slack") + 1 - F.col("hot"), F.lit(1)).alias("need"))
+        one = cold.select("signature", "band", "part", F.col("node").alias("a"), F.col("need").alias("need_a"))
         two = cold.select("signature", F.col("node").alias("b"), F.col("need").alias("need_b"))
-        pairs = one.join(two, "signature").filter("a < b").groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need"))
+        pairs = one.join(two, "signature").filter("a < b").groupBy("a", "b", "band", "part").agg(F.max(F.greatest("need_a", "need_b")).alias("need"))
+        pairs = pairs.groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.max("need").alias("need"))
         return pairs.filter("n >= need").select("a", "b").distinct()
 
     def near_links(self, hot: DataFrame) -> DataFrame:
@@ -300,8 +319,8 @@ class _Join:
 
     def components(self) -> DataFrame:
         """``node, component`` of every set that is linked with another one."""
-        members = self.members().withColumns({"band": F.floor(F.col("tag") / 4096).cast("int"), "slack": F.col("tag") % 4096})
-        hot = members.filter(F.col("n") > HOT).groupBy("node", "band").agg(F.count("*").alias("hot"))
+        members = self.members().withColumns({"band": F.expr("cast(shiftright(tag, 44) as int)"), "slack": F.expr("cast(shiftright(tag, 32) & 4095 as int)"), "part": F.expr("cast(tag & 4294967295 as int)")})
+        hot = members.filter(F.col("n") > HOT).groupBy("node", "band").agg(F.count_distinct("part").alias("hot"))
         members = checkpointed(members.join(hot, ["node", "band"], "left").withColumn("hot", F.coalesce("hot", F.lit(0))).drop("tag", "low"))
         hot = checkpointed(self.hot_pairs(members))
         proven = hot.filter("proven").select("a", "b")

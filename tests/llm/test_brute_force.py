@@ -107,7 +107,7 @@ def test_partenum_signatures_meet():
             b = np.unique(np.append(keep, rng.integers(0, 1 << 63, int(len(a) * rng.uniform(0, 0.08))).astype(np.uint64)))
             both = len(np.intersect1d(a, b))
             if like.linked(len(a), len(b), both) and len(a) + len(b) > 2 * both:
-                one, two = ({int(h) for hs, _, _ in jaccard.signatures(x, like) for h in hs} for x in (a, b))
+                one, two = ({int(h) for hs, *_ in jaccard.signatures(x, like) for h in hs} for x in (a, b))
                 assert one & two
 
 
