@@ -1,11 +1,10 @@
-"""The boundary to external compute: frame kernels, fuzzy ratios, model calls. Models are deterministic stand-ins."""
+"""The boundary to external compute: frame kernels, model calls. Models are deterministic stand-ins."""
 
 from __future__ import annotations
 
 import hashlib
 import time
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -32,6 +31,29 @@ def frame_features(frame: Column, width: int) -> Column:
     return F.pandas_udf(features, FEATURES)(frame)
 
 
+#: What counts as ink where a text is laid out as a strip.
+INK = "aeiouAEIOU"
+
+
+def raster(text: Column, cells: int) -> Column:
+    """A text as a strip of ``cells`` cells of equal length; a cell's ink is its share of vowels in thousandths.
+
+    Each character is looked at once; a null text is empty, cells without characters have no ink.
+    """
+    ink = np.array([ord(c) for c in INK], np.uint32)
+
+    def laid(texts: pd.Series) -> pd.Series:
+        out = []
+        for said in texts:
+            codes = np.frombuffer((said or "").encode("utf-32-le"), np.uint32)
+            upto = np.append(0, np.cumsum(np.isin(codes, ink)))
+            edges = np.arange(cells + 1, dtype=np.int64) * len(codes) // cells
+            out.append(1000 * np.diff(upto[edges]) // np.maximum(np.diff(edges), 1))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(laid, "array<long>")(text)
+
+
 def pair_metrics(a: Column, b: Column, bins: int = 16) -> Column:
     """Mean squared error, share of changed values, and histogram correlation of two frames."""
 
@@ -49,15 +71,6 @@ def pair_metrics(a: Column, b: Column, bins: int = 16) -> Column:
     return F.pandas_udf(metrics, "mse double, changed double, histogram double")(a, b)
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """The matching-blocks ratio of two texts, which is no edit distance."""
-
-    def ratio(one: pd.Series, two: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(one, two, strict=True)], dtype="float64")
-
-    return F.pandas_udf(ratio, "double")(a, b)
-
-
 def stand_in(model: str, text: str) -> float:
     """A model's confidence about a text, told from their hash; a text of hash 0 modulo 23 makes the model fail."""
     n = int.from_bytes(hashlib.sha256(f"{model}\n{text}".encode()).digest()[:6], "big")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions import external
+from evidentia.functions import blocks, external
 from evidentia.sources.session import table
 
 MODELS = ["reviewer-a", "reviewer-b", "reviewer-c"]
@@ -39,7 +39,7 @@ def turn_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matching-blocks ratio of each turn's whole text against the turn before."""
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = table(spark, sf_dir, "conversations").withColumn("previous", before).filter("previous is not null")
-    return rows.select("conv_id", "turn", F.round(external.sequence_ratio(F.col("text"), F.col("previous")), 6).alias("ratio"))
+    return rows.select("conv_id", "turn", F.round(blocks.matching_ratio(F.col("text"), F.col("previous")), 6).alias("ratio"))
 
 
 QUERIES = {"frame_features": frame_features, "frame_pairs": frame_pairs, "model_reviews": model_reviews, "review_summary": review_summary, "turn_ratios": turn_ratios}
