@@ -1,4 +1,4 @@
-"""Interval, nearest and neighbourhood joins, always within keys; none compares all pairs of a key."""
+"""Interval, nearest and neighbourhood joins, within keys or over whole tables; none compares all pairs."""
 
 from __future__ import annotations
 
@@ -95,3 +95,42 @@ def chunked(rows: DataFrame, keys: list[str], order: list[str], size: int) -> Da
 def estimated(rows: DataFrame, known: DataFrame, key: str, value: str, step: int) -> DataFrame:
     """A known value by key, else an estimate: the key over ``step``, rounded, 1 at least."""
     return rows.join(known.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), F.greatest(F.lit(1), F.round(F.col(key) / step).cast("int"))))
+
+
+def _levelled(side: DataFrame, lo: str, hi: str, width: float, others: DataFrame | None) -> DataFrame:
+    """Intervals with their ``_own`` level and a row for each ``_level`` and ``_bin`` that they are looked up in.
+
+    Bins of level k are ``width * 2 ** k`` wide; an interval's own level is the first whose bins are no narrower, so at
+    it and all above it lies in two bins at most. ``others`` are the levels that the other side has.
+    """
+    length = F.col(hi) - F.col(lo)
+    own = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(width)) / width))).cast("int")
+    side = side.filter((F.col(lo) <= F.col(hi)) & (length < float("inf"))).withColumn("_own", own)
+    # The logarithm may round down to the level below.
+    side = side.withColumn("_own", F.when(length > width * F.pow(F.lit(2.0), F.col("_own")), F.col("_own") + 1).otherwise(F.col("_own")))
+    if others is None:
+        return side
+    side = side.crossJoin(F.broadcast(others)).withColumn("_level", F.explode(F.array_union(F.array("_own"), F.filter("_levels", lambda x: x > F.col("_own"))))).drop("_levels")
+    wide = width * F.pow(F.lit(2.0), F.col("_level"))
+    first, last = F.floor(F.col(lo) / wide).cast("long"), F.floor(F.col(hi) / wide).cast("long")
+    return side.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence("_first", last)))
+
+
+def overlapping(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], width: float, closed: bool = False) -> DataFrame:
+    """All pairs of rows whose ranges overlap, each pair once; no key has to be equal.
+
+    Ranges of any length meet in bins: two that overlap share a bin at the level of the longer one, where each lies in
+    two bins at most, and of the shared ones only the first counts. So a range costs two rows a level, however long it
+    is, and rows that are far apart never meet. Levels are at most one for each doubling of the length; ``width`` is
+    that of the narrowest bins and changes the speed only. ``closed`` ranges also overlap where one ends and the other
+    begins. Rows with a null or reversed range are in no pair; columns of both sides must differ in name. A theta join
+    ``abs(a - b) <= d`` is a closed one of ``a - d, a + d`` and ``b, b``.
+    """
+    (llo, lhi), (rlo, rhi) = left_range, right_range
+    levels = [_levelled(side, lo, hi, width, None).agg(F.sort_array(F.collect_set("_own")).alias("_levels")) for side, lo, hi in ((left, llo, lhi), (right, rlo, rhi))]
+    one = _levelled(left, llo, lhi, width, levels[1]).withColumnsRenamed({"_own": "_lown", "_first": "_lfirst"})
+    two = _levelled(right, rlo, rhi, width, levels[0]).withColumnsRenamed({"_own": "_rown", "_first": "_rfirst"})
+    met = one.join(two, ["_level", "_bin"])
+    once = (F.col("_level") == F.greatest("_lown", "_rown")) & (F.col("_bin") == F.greatest("_lfirst", "_rfirst"))
+    overlap = (F.col(llo) <= F.col(rhi)) & (F.col(rlo) <= F.col(lhi)) if closed else (F.col(llo) < F.col(rhi)) & (F.col(rlo) < F.col(lhi))
+    return met.filter(once & overlap).select(*left.columns, *right.columns)

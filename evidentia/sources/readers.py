@@ -1,13 +1,9 @@
-"""Sources: JSON documents and lines, tool logs, paged catalogues, files. Schemas are declared, never inferred."""
+"""Sources: JSON documents and lines, tool logs, pages of catalogues, files. Schemas are declared, never inferred."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 CLAIMS = "claim_id string, context_id string, claim_text string, resolved_claim string, claim_type string"
 SEGMENTS = "seq int, start double, end double, text string, words array<struct<text:string,start:double,end:double>>, scene_index int, slide_number int"
@@ -53,40 +49,26 @@ def first_file(listing: DataFrame, key: str, path: str, order: list[str]) -> Dat
     return listing.withColumn("_rank", rank).filter("_rank is not null").withColumn("_nr", F.row_number().over(best)).filter("_nr = 1").drop("_rank", "_nr")
 
 
-class _Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
-
-
-class PagedReader(DataSourceReader):
-    """Reads pages ``0 .. pages - 1``, one partition each, from a fetch function named by the options."""
-
-    def __init__(self, options: dict):
-        self.pages, self.size = int(options.get("pages", "1")), int(options.get("size", "10"))
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Page(k) for k in range(self.pages)]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        for k in range(partition.number * self.size, (partition.number + 1) * self.size):
-            yield f"model-{k}", f"provider-{k % 3}", k * 1000
-
-
-class PagedCatalogue(DataSource):
-    """A paged catalogue as a source; the pages here are made up, a live one would fetch them."""
+# The fields of a catalogue's model that are kept.
+MODEL_FIELDS = "mode:string, max_input_tokens:long, max_output_tokens:long, supports_reasoning:boolean, supports_vision:boolean, supports_function_calling:boolean, supports_response_schema:boolean, supports_web_search:boolean, supports_pdf_input:boolean"
 
-    @classmethod
-    def name(cls) -> str:
-        return "paged_catalogue"
 
-    def schema(self) -> str:
-        return "id string, provider string, context_length int"
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Models of all stored pages of a catalogue (JSON documents with a ``data`` array): one row for each provider and id.
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return PagedReader(self.options)
+    An id may stand as ``model`` and a provider as ``litellm_provider``; entries without either are left out. Of
+    repeated entries the last stays, by the pages' file names and the places in them.
+    """
+    item = f"id:string, model:string, provider:string, litellm_provider:string, {MODEL_FIELDS}"
+    pages = spark.read.schema(f"data array<struct<{item}>>").option("multiLine", True).json(path)
+    rows = pages.select(F.input_file_name().alias("_file"), F.posexplode("data").alias("_at", "m"))
+    told = lambda *names: F.coalesce(*[F.nullif(F.trim(f"m.{n}"), F.lit("")) for n in names])
+    names = [f.split(":")[0] for f in MODEL_FIELDS.split(", ")]
+    rows = rows.select("_file", "_at", told("id", "model").alias("id"), told("provider", "litellm_provider").alias("provider"), *[f"m.{n}" for n in names])
+    last = F.max(F.struct("_file", "_at", *names)).alias("m")
+    return rows.filter("id is not null and provider is not null").groupBy("provider", "id").agg(last).select("id", "provider", *[f"m.{n}" for n in names])
 
 
-def catalogue(spark: SparkSession, pages: int = 3, size: int = 10) -> DataFrame:
-    """Models of all pages, one row for each provider and id."""
-    spark.dataSource.register(PagedCatalogue)
-    return spark.read.format("paged_catalogue").option("pages", str(pages)).option("size", str(size)).load().dropDuplicates(["provider", "id"])
+def providers(models: DataFrame) -> DataFrame:
+    """Each provider of a catalogue with how many models it has."""
+    return models.groupBy(F.col("provider").alias("id")).agg(F.count("*").alias("model_count"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import blocks
-from evidentia.operators import hamming, matching
+from evidentia.operators import hamming, joins, matching
 
 ALPHABETS = ["ab", "abc ", "abcdefghijklmnopqrstuvwxyz     éèü가나"]
 
@@ -166,3 +166,24 @@ def test_difference_hash(spark):
     df = spark.createDataFrame([(cells[:65],), (None,), ([],), (cells[64::-1],)], "c array<long>")
     got = [r.h for r in df.select(hamming.difference_hash(F.col("c"), 64).alias("h")).collect()]
     assert got[0] == [-1] and got[3] == [0]
+
+
+@pytest.mark.parametrize("closed", [False, True])
+@pytest.mark.parametrize("width", [0.5, 8.0])
+def test_overlapping_is_all_pairs(spark, closed, width):
+    rng = random.Random(6)
+
+    def ranges(n):
+        for k in range(n):
+            lo = rng.choice([None, rng.uniform(-50, 50), float(rng.randint(-20, 20))])
+            long = rng.choice([0.0, 1.0, -1.0, rng.uniform(0, 3), rng.uniform(0, 90), 2.0 ** rng.randint(-3, 6) * width])
+            yield k, lo, None if lo is None or rng.random() < 0.05 else lo + long
+
+    one, two = list(ranges(120)), list(ranges(150))
+    left = spark.createDataFrame(one, "a long, lo double, hi double")
+    right = spark.createDataFrame(two, "b long, start double, end double")
+    got = sorted((r.a, r.b) for r in joins.overlapping(left, right, ("lo", "hi"), ("start", "end"), width, closed).collect())
+    valid = lambda r: r[1] is not None and r[2] is not None and r[1] <= r[2]
+    meets = (lambda x, y: x[1] <= y[2] and y[1] <= x[2]) if closed else (lambda x, y: x[1] < y[2] and y[1] < x[2])
+    assert got == sorted((x[0], y[0]) for x in one for y in two if valid(x) and valid(y) and meets(x, y))
+    assert joins.overlapping(left.limit(0), right, ("lo", "hi"), ("start", "end"), width).count() == 0
