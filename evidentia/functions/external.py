@@ -1,4 +1,4 @@
-"""The boundary to external compute: frame kernels, model calls. Models are deterministic stand-ins."""
+"""The boundary to external compute: rasters, model calls. Models are deterministic stand-ins."""
 
 from __future__ import annotations
 
@@ -11,26 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = "mean double, deviation double, difference_hash long, edges double"
-
-
-def frame_features(frame: Column, width: int) -> Column:
-    """Mean, deviation, difference hash and edge share of frames given as flat number arrays of one width."""
-
-    def features(frames: pd.Series) -> pd.DataFrame:
-        rows = []
-        for flat in frames:
-            image = np.asarray(flat if flat is not None else [], np.float64)
-            image = image[: len(image) // width * width].reshape(-1, width)
-            right = image[:, 1:] > image[:, :-1]
-            bits = right.ravel()[:63]
-            steps = np.abs(np.diff(image, axis=1))
-            rows.append((image.mean() if image.size else 0.0, image.std() if image.size else 0.0, int("".join("01"[int(b)] for b in bits) or "0", 2), float((steps > 1).mean()) if steps.size else 0.0))
-        return pd.DataFrame(rows, columns=["mean", "deviation", "difference_hash", "edges"])
-
-    return F.pandas_udf(features, FEATURES)(frame)
-
-
 #: What counts as ink where a text is laid out as a strip.
 INK = "aeiouAEIOU"
 
@@ -54,23 +34,6 @@ def raster(text: Column, cells: int) -> Column:
     return F.pandas_udf(laid, "array<long>")(text)
 
 
-def pair_metrics(a: Column, b: Column, bins: int = 16) -> Column:
-    """Mean squared error, share of changed values, and histogram correlation of two frames."""
-
-    def metrics(one: pd.Series, two: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(one, two, strict=True):
-            x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)
-            span = (min(x.min(), y.min()), max(x.max(), y.max()) + 1e-9)
-            hx, hy = (np.histogram(v, bins, span)[0].astype(np.float64) for v in (x, y))
-            dx, dy = hx - hx.mean(), hy - hy.mean()
-            norm = float(np.sqrt((dx**2).sum() * (dy**2).sum()))
-            rows.append((float(((x - y) ** 2).mean()), float((np.abs(x - y) > 1).mean()), float((dx * dy).sum() / norm) if norm else 1.0))
-        return pd.DataFrame(rows, columns=["mse", "changed", "histogram"])
-
-    return F.pandas_udf(metrics, "mse double, changed double, histogram double")(a, b)
-
-
 def stand_in(model: str, text: str) -> float:
     """A model's confidence about a text, told from their hash; a text of hash 0 modulo 23 makes the model fail."""
     n = int.from_bytes(hashlib.sha256(f"{model}\n{text}".encode()).digest()[:6], "big")
