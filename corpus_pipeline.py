@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidentia.llm import classifier, decontamination, jaccard, mixing, secrets
 from evidentia.llm.keys import free_name, maybe_broadcast
 from evidentia.sources.session import checkpointed, shared_dir, table
+from evidentia.sources.stages import Stages
 
 #: Documents below this score of the quality classifier go.
 LEAST_QUALITY = 0.3
@@ -63,11 +64,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's rows are written to the shared folder and read back."""
-    docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages on ``documents``; each stage's rows are written to the shared folder and read back.
+
+    In a ``folder`` that is named, stages that were finished from the same files are taken as they stand, so a run that
+    was stopped goes on where it was. Without one the run has a folder of its own, in which a stage's rows go as soon as
+    the next stage's stand.
+    """
+    docs, others = table(spark, sf_dir, "documents"), [table(spark, sf_dir, name) for name in ("labels", "benchmark")]
+    stages = Stages(spark, folder or f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid4().hex}")
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        docs = stages.run(name, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), [docs, *others])
+        if before and not folder:
+            stages.drop(before)
+        before = name
     return docs
