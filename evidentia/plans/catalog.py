@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.plans import answers, boundary, captures, decisions, evidence, frames, results, sequences, streams, texts, timelines, verdicts, views
+from evidentia.plans import answers, boundary, captures, decisions, evidence, frames, registered, results, sequences, streams, texts, timelines, verdicts, views
 from evidentia.sources.session import table
 
 
@@ -35,6 +35,6 @@ select coalesce(source, 'etc') tag, count(*) lecture_count, count(*) filter (qua
   count(*) filter (toxic = 1) flagged, round(avg(n_chars), 2) mean_chars
 from documents left join labels using (doc_id) group by 1""",
 }
-for _module in (views, verdicts, timelines, texts, results, sequences, decisions, answers, streams, boundary, frames, evidence, captures):
+for _module in (views, verdicts, timelines, texts, results, sequences, decisions, answers, streams, boundary, frames, evidence, captures, registered):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
