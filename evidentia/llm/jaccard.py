@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -19,9 +20,9 @@ from evidentia.sources.session import checkpointed, stored
 #: Ratio of the largest to the smallest set size of a band.
 BAND_RATIO = 1.5
 #: Elements that two sets may differ in within a partition, and the second-level partitions it is cut into.
-INNER, CUTS = 1, 3
+INNER, CUTS = 1, 2
 #: Partitions beyond those that the distance bound needs, as a share of them.
-SPARE = 0.04
+SPARE = 0.3
 #: Further partitionings for sets that leave too many partitions of the others empty.
 FAMILIES = 4
 #: A bucket of more sets is hot. Pairs in it only matter between sets that may have no other bucket in common;
@@ -93,15 +94,21 @@ def set_id(shingles: np.ndarray) -> int:
 SUBSETS = list(combinations(range(CUTS), CUTS - INNER))
 
 
+@lru_cache(maxsize=64)
+def _places(n: int, parting: int) -> np.ndarray:
+    """A hash of each subset's place in one partitioning."""
+    return words.mix(np.arange(n * len(SUBSETS), dtype=np.uint64).reshape(n, len(SUBSETS)) + (np.uint64(parting) << np.uint64(40)))
+
+
 def signatures(shingles: np.ndarray, like: Similarity) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
     """PartEnum signatures of a set as ``(hashes, partitions, band, slack)``.
 
     Two linked sets lie in one band of sizes, or the smaller one is near the next band and signs for it too. In a
     band whose largest size allows a distance of k, the shingle domain is cut in k div 2 + 1 + m partitions. Linked
     sets differ in two elements or more in at most k div 2 of them, so in m + 1 partitions at least they differ in
-    one element or none. Each partition is cut into three, and each subset of two of these gives a signature: one
-    element stands in one of the three only, so the sets agree on the subset without it. A subset without elements
-    gives no signature. ``slack`` is m less the partitions in which the set has such a subset: a set with slack 0 or
+    one element or none. Each partition is cut into ``CUTS``, and each subset of all but one of these gives a
+    signature: one element stands in one of the cuts only, so the sets agree on the subset without it. A subset without
+    elements gives no signature. ``slack`` is m less the partitions in which the set has such a subset: a set with slack 0 or
     more shares a signature with every partner. A set with less signs under another partitioning too; only two such
     sets can need it, and both have it.
     """
@@ -109,6 +116,7 @@ def signatures(shingles: np.ndarray, like: Similarity) -> list[tuple[np.ndarray,
     size = len(shingles)
     band = int(np.searchsorted(_TOPS, size))
     reach = like.largest_partner(size)
+    mixed = words.mix(shingles)
     while band == 0 or _TOPS[band - 1] + 1 <= max(reach, size):
         k = like.distance(int(_TOPS[band]))
         if k:
@@ -120,14 +128,14 @@ def signatures(shingles: np.ndarray, like: Similarity) -> list[tuple[np.ndarray,
                 part = ((own >> np.uint64(32)) * np.uint64(n * CUTS)) >> np.uint64(32)
                 heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 sums = np.zeros(n * CUTS, np.uint64)
-                sums[part[heads].astype(np.int64)] = words.mix(np.add.reduceat(words.mix(own), heads))
+                sums[part[heads].astype(np.int64)] = words.mix(np.add.reduceat(mixed if family == 0 else words.mix(own), heads))
                 sums = sums.reshape(n, CUTS)
-                told = np.stack([words.mix(words.mix(sums[:, subset]) * _TURNS).sum(axis=1, dtype=np.uint64) for subset in SUBSETS], axis=1)
+                turned = sums[:, :, None] * _TURNS
+                told = np.stack([sum(turned[:, c, at] for at, c in enumerate(subset)) for subset in SUBSETS], axis=1)
                 full = np.stack([sums[:, subset].any(axis=1) for subset in SUBSETS], axis=1)
-                where = np.arange(n * len(SUBSETS), dtype=np.uint64).reshape(n, len(SUBSETS)) + (np.uint64(band * FAMILIES + family) << np.uint64(40))
                 slack = spare - int((~full).any(axis=1).sum())
-                rows = np.repeat(np.arange(n), len(SUBSETS)).reshape(n, len(SUBSETS))[full]
-                out.append((words.mix(told[full] ^ words.mix(where[full])), rows, band * FAMILIES + family, slack))
+                rows = np.repeat(np.arange(n), full.sum(axis=1))
+                out.append((words.mix((told + _places(n, band * FAMILIES + family))[full]), rows, band * FAMILIES + family, slack))
                 if slack >= 0:
                     break
             else:
@@ -255,15 +263,16 @@ class _Join:
         return checkpointed(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_checked(self.like), "a long, b long"))
 
     def cold_pairs(self, members: DataFrame) -> DataFrame:
-        """Pairs ``a, b`` that share cold buckets often enough.
+        """Pairs ``a, b`` of sets that aren't ``known`` to be in one group and share cold buckets often enough.
 
-        A linked set shares signatures with its partner in more than ``slack`` partitions; at most ``hot`` of these
-        have a hot one, so at least ``need`` don't.
+        A linked set shares signatures with its partner in more than ``slack`` partitions; at most ``hot_parts``
+        of these have a hot one, so at least ``need`` don't.
         """
-        cold = members.filter(F.col("n") <= HOT).select("signature", "node", "band", "part", F.greatest(F.col("slack") + 1 - F.col("hot"), F.lit(1)).alias("need"))
-        one = cold.select("signature", "band", "part", F.col("node").alias("a"), F.col("need").alias("need_a"))
-        two = cold.select("signature", F.col("node").alias("b"), F.col("need").alias("need_b"))
-        pairs = one.join(two, "signature").filter("a < b").groupBy("a", "b", "band", "part").agg(F.max(F.greatest("need_a", "need_b")).alias("need"))
+        cold = members.filter(F.col("n") <= HOT).select("signature", "node", "known", "band", "part", F.greatest(F.col("slack") + 1 - F.col("hot_parts"), F.lit(1)).alias("need"))
+        one = cold.select("signature", "band", "part", F.col("node").alias("a"), F.col("known").alias("known_a"), F.col("need").alias("need_a"))
+        two = cold.select("signature", F.col("node").alias("b"), F.col("known").alias("known_b"), F.col("need").alias("need_b"))
+        apart = (F.col("a") < F.col("b")) & (F.col("known_a") != F.col("known_b"))
+        pairs = one.join(two, "signature").filter(apart).groupBy("a", "b", "band", "part").agg(F.max(F.greatest("need_a", "need_b")).alias("need"))
         pairs = pairs.groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.max("need").alias("need"))
         return pairs.filter("n >= need").select("a", "b").distinct()
 
@@ -283,10 +292,10 @@ class _Join:
             pairs.append(best.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")))
         return self.links(pairs[0].unionByName(pairs[1]).distinct())
 
-    def hot_pairs(self, members: DataFrame) -> DataFrame:
-        """Candidates ``a, b, proven`` among the sets that may share hot buckets only.
+    def hot_pairs(self, hot: DataFrame, known: DataFrame) -> DataFrame:
+        """Candidates ``a, b`` among the sets that may share hot buckets only.
 
-        ``near_links`` make groups that are ``known`` by now; only sets of different groups can still be needed. They
+        ``near_links`` made groups that are ``known`` by now; only sets of different groups can still be needed. They
         are joined by a prefix filter over whole sets: elements are ordered by the number of these sets that have
         them, rarest first. Two linked sets of sizes s and t have ``need`` elements in common at least, so their
         first common one stands before place s - need + 1 of the one and t - need + 1 of the other. In a large group
@@ -295,9 +304,6 @@ class _Join:
         rows of the group that most rows with this element belong to only meet those of other groups.
         """
         like = self.like
-        hot = checkpointed(members.filter((F.col("n") > HOT) & (F.col("hot") > F.col("slack"))).select("signature", "node", "hot"))
-        links = self.near_links(hot)
-        known = connected_components(links).withColumnRenamed("component", "known")
         sets = self.sets(hot.select("node")).join(known, "node", "left").select("node", F.coalesce("known", "node").alias("known"), "shingles")
         every = sets.mapInArrow(_elements, "node long, known long, size long, element long")
         often = stored(every.groupBy("element").agg(F.count("*").alias("often")).filter("often > 1"))
@@ -314,17 +320,19 @@ class _Join:
         two = keys.select("element", F.struct("node", "known", "size", "at").alias("y"))
         need = like.least_common(F.col("x.size"), F.col("y.size"))
         met = one.join(two, "element").filter((F.col("x.known") != F.col("y.known")) & (F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= need))
-        pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.lit(False).alias("proven")).distinct()
-        return pairs.unionByName(links.select("a", "b", F.lit(True).alias("proven")))
+        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
     def components(self) -> DataFrame:
         """``node, component`` of every set that is linked with another one."""
         members = self.members().withColumns({"band": F.expr("cast(shiftright(tag, 44) as int)"), "slack": F.expr("cast(shiftright(tag, 32) & 4095 as int)"), "part": F.expr("cast(tag & 4294967295 as int)")})
-        hot = members.filter(F.col("n") > HOT).groupBy("node", "band").agg(F.count_distinct("part").alias("hot"))
-        members = checkpointed(members.join(hot, ["node", "band"], "left").withColumn("hot", F.coalesce("hot", F.lit(0))).drop("tag", "low"))
-        hot = checkpointed(self.hot_pairs(members))
-        proven = hot.filter("proven").select("a", "b")
-        pairs = checkpointed(self.cold_pairs(members).unionByName(hot.filter("not proven").select("a", "b")).distinct().join(proven, ["a", "b"], "left_anti"))
+        hot = members.filter(F.col("n") > HOT).groupBy("node", "band").agg(F.count("*").alias("hot"), F.count_distinct("part").alias("hot_parts"))
+        members = members.join(hot, ["node", "band"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("hot", "hot_parts")})
+        members = checkpointed(members.drop("tag", "low"))
+        hot = checkpointed(members.filter((F.col("n") > HOT) & (F.col("hot_parts") > F.col("slack"))).select("signature", "node", "hot"))
+        proven = self.near_links(hot)
+        known = checkpointed(connected_components(proven).withColumnRenamed("component", "known"))
+        members = members.join(maybe_broadcast(known), "node", "left").withColumn("known", F.coalesce("known", "node"))
+        pairs = self.cold_pairs(members).unionByName(self.hot_pairs(hot, known)).distinct()
         return connected_components(proven.unionByName(self.links(pairs)))
 
 
