@@ -162,6 +162,26 @@ def _places(norm: Column, pattern: Column) -> Column:
     return F.aggregate(pairs, start, step)["done"]
 
 
+def _uncontained(hits: Column) -> Column:
+    """The hits that no range of an earlier rule contains, by start.
+
+    One sweep by start, longer ranges first, so all that may contain a hit stand before it. The sweep keeps, of the
+    rules met so far, the furthest end of each that no earlier rule reaches: as many entries as rules at most.
+    """
+    order = F.array_sort(F.transform(hits, lambda h: F.struct(h["lo"].alias("lo"), (-h["hi"]).alias("back"), h["nr"].alias("nr"), h["tier"].alias("tier"), h["label"].alias("label"))))
+    start = F.struct(F.array().cast("array<struct<nr:int,hi:int>>").alias("front"), F.array().cast("array<struct<nr:int,tier:int,label:string,lo:int,hi:int>>").alias("left"))
+
+    def step(s: Column, h: Column) -> Column:
+        hi = -h["back"]
+        over = F.exists(s["front"], lambda f: (f["nr"] < h["nr"]) & (f["hi"] >= hi))
+        known = F.exists(s["front"], lambda f: (f["nr"] <= h["nr"]) & (f["hi"] >= hi))
+        front = F.concat(F.filter(s["front"], lambda f: (f["nr"] < h["nr"]) | (f["hi"] > hi)), F.array(F.struct(h["nr"].alias("nr"), hi.alias("hi"))))
+        own = F.array(F.struct(h["nr"].alias("nr"), h["tier"].alias("tier"), h["label"].alias("label"), h["lo"].alias("lo"), hi.alias("hi")))
+        return F.struct(F.when(known, s["front"]).otherwise(front).alias("front"), F.when(over, s["left"]).otherwise(F.concat(s["left"], own)).alias("left"))
+
+    return F.aggregate(order, start, step)["left"]
+
+
 def _gate(phrases: list[str]) -> str:
     """A pattern for lower-cased texts that have any of the phrases; no rule matches without its keyword."""
     by: dict[str, list[str]] = {}
@@ -193,7 +213,7 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     tried = F.filter(table, lambda r: F.array_contains(F.col("found"), r["keyword"]))
     hits = F.flatten(F.transform(tried, lambda r: F.transform(_places(F.col("norm"), r["pattern"]), lambda p: F.struct(r["nr"].alias("nr"), r["tier"].alias("tier"), r["label"].alias("label"), p["lo"].alias("lo"), p["hi"].alias("hi")))))
     docs = docs.withColumn("hits", F.when(F.size("found") > 0, hits))
-    left = F.filter("hits", lambda a: ~F.exists("hits", lambda b: (b["lo"] <= a["lo"]) & (b["hi"] >= a["hi"]) & (b["nr"] < a["nr"])))
+    left = _uncontained(F.col("hits"))
     base = F.array(*[F.struct(F.lit(label).alias("label"), F.transform(_places(F.col("norm"), F.lit(wrapped(phrase))), lambda p: p["lo"]).alias("at")) for phrase, label in BASE])
     empty = "array<struct<nr:int,tier:int,label:string,lo:int,hi:int>>"
     return docs.select("doc_id", "n_words", F.when(F.col("norm").isNotNull(), base).otherwise(F.array().cast("array<struct<label:string,at:array<int>>>")).alias("base"), F.coalesce(left, F.array().cast(empty)).alias("hits"))

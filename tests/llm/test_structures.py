@@ -230,3 +230,17 @@ def test_before_sums_up_all_levels(spark, size):
     got = {r.place: r.before for r in packing.before(rows, "place", "v").collect()}
     sums = list(itertools.accumulate([0, *((7 * k) % 13 for k in range(size - 1))]))
     assert got == {7 * k: s for k, s in enumerate(sums)}
+
+
+def test_contained_hits_go(spark):
+    from evidentia.llm import licenses
+
+    rng, rows = random.Random(1), []
+    for k in range(200):
+        spans = [(rng.randint(0, 8), 1, "x", lo := rng.randint(0, 30), lo + rng.randint(1, 9)) for _ in range(rng.randint(0, 40))]
+        rows.append((k, list(dict.fromkeys(spans))))
+    df = spark.createDataFrame([*rows, (999, None)], "k int, hits array<struct<nr:int,tier:int,label:string,lo:int,hi:int>>")
+    got = {r.k: r.left for r in df.select("k", licenses._uncontained(F.col("hits")).alias("left")).collect()}
+    assert got.pop(999) is None
+    for k, hits in rows:
+        assert sorted(map(tuple, got[k])) == sorted(a for a in hits if not any(b[3] <= a[3] and b[4] >= a[4] and b[0] < a[0] for b in hits))
