@@ -11,6 +11,8 @@ from evidentia.functions.text import domain
 
 #: Sources up to this priority (government) need no repair.
 GOVERNMENT = 2
+#: Numbers of one block where rows are put in order block by block.
+BLOCK = 4096
 
 
 def source_status(sources: DataFrame, key: str, matched: str, eligible: str, priority: str, passages: str) -> DataFrame:
@@ -69,8 +71,12 @@ def moved_to_next(frames: DataFrame, bases: DataFrame, scene: str, vector: str,
 
     ``bases`` has one row a scene; scenes need not be numbered without gaps. Distances are mean squares.
     """
-    by = Window.orderBy(F.col(scene))
-    pairs = bases.select(scene, F.col(vector).alias("_own"), F.lead(vector).over(by).alias("_next"), F.lead(scene).over(by).alias("next_scene"))
+    # Scenes are led on within blocks of numbers; only each block's first scene is ordered over all.
+    own = bases.withColumns({"_block": F.floor(F.col(scene) / BLOCK), "_base": F.struct(F.col(scene).alias("scene"), F.col(vector).alias("vector"))})
+    heads = own.groupBy("_block").agg(F.min("_base").alias("_head"))
+    heads = heads.select("_block", F.lead("_head").over(Window.orderBy("_block")).alias("_first"))
+    after = F.coalesce(F.lead("_base").over(Window.partitionBy("_block").orderBy(scene)), F.col("_first"))
+    pairs = own.join(heads, "_block").withColumn("_after", after).select(scene, F.col(vector).alias("_own"), F.col("_after.vector").alias("_next"), F.col("_after.scene").alias("next_scene"))
     gap = lambda c: F.aggregate(F.zip_with(vector, c, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x) / F.size(vector)
     out = frames.join(pairs, scene, "left").withColumn("gain", F.round(gap("_own") - gap("_next"), 6))
     return out.withColumn("moved", F.coalesce(F.col("gain") >= least_gain, F.lit(False))).drop("_own", "_next")

@@ -21,6 +21,7 @@ MUSEUMS = ("uffizi.it", "britishmuseum.org", "metmuseum.org", "moma.org", "tate.
 ACADEMIC = ("arxiv.org", "ncbi.nlm.nih.gov", "pubmed.ncbi.nlm.nih.gov", "jstor.org", "doi.org", "sciencedirect.com", "springer.com", "cambridge.org", "academic.oup.com")
 DOCUMENTATION = ("docs.", "developer.", "developers.", "learn.", "support.", "help.", "cloud.", "kubernetes.io")
 EDUCATIONAL = ("britannica.com", "khanacademy.org", "openstax.org", "opentextbooks.org", "pressbooks.pub", "books.google.com", "openlibrary.org", "interaction-design.org", "treccani.it", "encyclopedia.com", "pbs.org")
+# Documentation domains that the parts above cover already aren't listed one by one.
 NEWS = ("news", "reuters.", "apnews.", "bbc.", "nytimes.", "wsj.")
 TRUST = {"standards": 0.95, "government": 0.95, "official_docs": 0.9, "academic": 0.85, "educational": 0.75, "encyclopedia": 0.7, "news": 0.6, "secondary": 0.55, "tutorial": 0.2, "forum": 0.2, "blog": 0.2}
 PRIORITY = {"official_docs": 1, "standards": 2, "government": 2, "academic": 3, "educational": 4, "encyclopedia": 5}
@@ -50,7 +51,7 @@ def exclusion(url: Column) -> Column:
 
 
 def trust_level(url: Column) -> Column:
-    """A source's class; the first rule that holds decides."""
+    """A source's class; the first rule that holds decides. The order of rules and the suffixes in them are fixed values."""
     d, out_of = domain(url), exclusion(url)
     return (
         F.when(out_of == "tutorial", "tutorial")

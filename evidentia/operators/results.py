@@ -89,7 +89,7 @@ def running_ids(rows: DataFrame, batch: str, coarse: Column, order: Sequence[str
     totals = totals.select(batch, F.coalesce(F.sum("_n").over(Window.orderBy(batch).rowsBetween(*before)), F.lit(0)).alias("_batch_at"))
     counts = counts.select(batch, "_coarse", F.coalesce(F.sum("_n").over(Window.partitionBy(batch).orderBy("_coarse").rowsBetween(*before)), F.lit(0)).alias("_at"))
     own = F.row_number().over(Window.partitionBy(batch, "_coarse").orderBy(*order))
-    rows = rows.join(F.broadcast(totals), batch).join(counts, [batch, "_coarse"])
+    rows = rows.join(totals, batch).join(counts, [batch, "_coarse"])
     return rows.withColumn("display_id", F.format_string(pattern, F.col("_batch_at") + F.col("_at") + own)).drop("_coarse", "_batch_at", "_at")
 
 

@@ -145,7 +145,7 @@ def model_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").withColumn("kind", F.lower(F.substring("o_orderpriority", 3, 20)))
     out = rows.groupBy(F.col("o_orderstatus").alias("model")).pivot("kind", ["urgent", "high", "medium"]).count().na.fill(0)
     every = rows.groupBy(F.col("o_orderstatus").alias("model")).count().withColumnRenamed("count", "n")
-    return out.join(F.broadcast(every), "model").withColumn("others", F.col("n") - F.col("urgent") - F.col("high") - F.col("medium"))
+    return out.join(every, "model").withColumn("others", F.col("n") - F.col("urgent") - F.col("high") - F.col("medium"))
 
 
 def media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
