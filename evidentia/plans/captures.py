@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators import metadata
+from evidentia.operators import graph, metadata
 from evidentia.plans.timelines import _E, _events
 from evidentia.sources.session import table
 
@@ -74,7 +74,15 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 50).alias("part"), days.alias("frame"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample"))
 
 
-QUERIES = {"unit_ranges": unit_ranges, "capture_records": capture_records, "scene_slide_map": scene_slide_map, "dense_scenes": dense_scenes, "sample_indices": sample_indices}
+def resolved_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as scenes, their orders as reviews of neighbouring ones: groups under vetoes and dropped scenes."""
+    orders = table(spark, sf_dir, "orders")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("same_slide", "different_slide", "uncertain", "transition_noise", "same_slide")]), (F.col("o_orderkey") % 31 % 5 + 1).cast("int"))
+    reviews = orders.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + F.col("o_orderkey") % 3 + 1).alias("b"), kind.alias("decision"), (F.col("o_totalprice") % 100 / 100).alias("confidence"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey") + F.col("o_orderkey") % 3 + 1).alias("representative"))
+    return graph.resolved_groups(table(spark, sf_dir, "customer"), reviews, "c_custkey", 0.9)
+
+
+QUERIES = {"resolved_scenes": resolved_scenes, "unit_ranges": unit_ranges, "capture_records": capture_records, "scene_slide_map": scene_slide_map, "dense_scenes": dense_scenes, "sample_indices": sample_indices}
 _UNITS = f"""
 with {_E}, f as (select *, round(sec - min(sec) over (partition by user_id), 3) "at" from e),
 r as (select *, floor("at" * 30)::bigint + 1 frame, count(*) filter (event_type = 'view') over (partition by user_id order by ts, event_id rows unbounded preceding) scene from f),
@@ -96,6 +104,20 @@ _MAP = """
 mp as (select user_id, scene_index, slide_number, canon, start_sec, end_sec, printf('scene_%03d_base.jpg', scene_index) base_filename, n, total, row_number() over w visit, lag(scene_index) over w p, lead(scene_index) over w x, count(*) over (partition by user_id, canon) size from nu window w as (partition by user_id, canon order by scene_index))"""
 _HMS = "printf('%02d:%02d:%02d', round({0})::bigint // 3600, round({0})::bigint % 3600 // 60, round({0})::bigint % 60)"
 ORACLES = {
+    "resolved_scenes": """
+with recursive t as (select o_custkey a, o_custkey + o_orderkey % 3 + 1 b, (['same_slide', 'different_slide', 'uncertain', 'transition_noise', 'same_slide'])[(o_orderkey % 31 % 5 + 1)::int] d,
+  o_totalprice % 100 / 100 >= 0.9 sure, case when o_orderkey % 4 = 0 then o_custkey + o_orderkey % 3 + 1 end rep from orders),
+own as (select c_custkey scene from customer), gone as (select distinct a scene from t where d = 'transition_noise' and sure),
+free as (select scene from own where scene not in (select scene from gone)),
+p as (select a, b, min(rep) filter (d = 'same_slide') rep from t where sure group by a, b having bool_or(d = 'same_slide') and not bool_or(d = 'different_slide')),
+e as (select * from p where a in (select scene from free) and b in (select scene from free)),
+r as (select scene x, scene y from own union select r.x, case when e.a = r.y then e.b else e.a end from r join e on e.a = r.y or e.b = r.y),
+g as (select x scene, min(y) comp from r group by x),
+h as (select g.comp, min(m.scene) head from e join g on g.scene = e.a join g m on m.scene = e.rep and m.comp = g.comp group by 1),
+m as (select scene, bool_or(sure and d = 'different_slide') vetoed, bool_or(d = 'uncertain') open from (select unnest([a, b]) scene, d, sure from t) group by 1)
+select g.scene, coalesce(head, g.comp) canonical, count(*) over (partition by g.comp) group_size, row_number() over w visit_order, lag(g.scene) over w previous, lead(g.scene) over w "next",
+  coalesce(vetoed, false) vetoed, gone.scene is not null dropped, coalesce(head = g.scene, false) preferred, coalesce(open, false) and gone.scene is null manual
+from g left join h using (comp) left join m on m.scene = g.scene left join gone on gone.scene = g.scene window w as (partition by g.comp order by g.scene)""",
     "unit_ranges": f"{_UNITS} select user_id, kind, source_index, t timestamp_sec, frame_no, scene_index, start_sec, end_sec from un",
     "capture_records": f"""{_FINAL}
 select user_id, filename, scene_index, capture_type, ca.start_sec scene_start_sec, ca.end_sec scene_end_sec, slide_number, case when capture_type = 'base' then 0 else upto - n + annot_index end::bigint slide_annot_index,
