@@ -59,7 +59,9 @@ def text_merge(a: Column, b: Column, threshold: float = 0.83) -> Column:
     """merge, uncertain (within 0.05 below the threshold), reject, or unavailable if a side is empty."""
     a, b = recognised(F.coalesce(a, F.lit(""))), recognised(F.coalesce(b, F.lit("")))
     alike = edit_similarity(a, b)
-    return F.when((a == "") | (b == ""), "unavailable").when((a == b) | (alike >= threshold), "merge").when(alike <= threshold - 0.05, "reject").otherwise("uncertain")
+    # Texts whose lengths differ by so much can't be alike enough; their distance isn't computed.
+    most = 1 - F.abs(F.length(a) - F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return F.when((a == "") | (b == ""), "unavailable").when(most <= threshold - 0.05, "reject").when((a == b) | (alike >= threshold), "merge").when(alike <= threshold - 0.05, "reject").otherwise("uncertain")
 
 
 def without_fence(c: Column) -> Column:
