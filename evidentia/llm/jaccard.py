@@ -265,15 +265,14 @@ class _Join:
     def cold_pairs(self, members: DataFrame) -> DataFrame:
         """Pairs ``a, b`` of sets that aren't ``known`` to be in one group and share cold buckets often enough.
 
-        A linked set shares signatures with its partner in more than ``slack`` partitions; at most ``hot_parts``
-        of these have a hot one, so at least ``need`` don't.
+        A linked set shares signatures with its partner in more than ``slack`` partitions; at most ``hot_parts`` of
+        these have a hot one, so there are ``need`` cold signatures at least that both have.
         """
-        cold = members.filter(F.col("n") <= HOT).select("signature", "node", "known", "band", "part", F.greatest(F.col("slack") + 1 - F.col("hot_parts"), F.lit(1)).alias("need"))
-        one = cold.select("signature", "band", "part", F.col("node").alias("a"), F.col("known").alias("known_a"), F.col("need").alias("need_a"))
+        cold = members.filter(F.col("n") <= HOT).select("signature", "node", "known", "band", F.greatest(F.col("slack") + 1 - F.col("hot_parts"), F.lit(1)).alias("need"))
+        one = cold.select("signature", "band", F.col("node").alias("a"), F.col("known").alias("known_a"), F.col("need").alias("need_a"))
         two = cold.select("signature", F.col("node").alias("b"), F.col("known").alias("known_b"), F.col("need").alias("need_b"))
         apart = (F.col("a") < F.col("b")) & (F.col("known_a") != F.col("known_b"))
-        pairs = one.join(two, "signature").filter(apart).groupBy("a", "b", "band", "part").agg(F.max(F.greatest("need_a", "need_b")).alias("need"))
-        pairs = pairs.groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+        pairs = one.join(two, "signature").filter(apart).groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need"))
         return pairs.filter("n >= need").select("a", "b").distinct()
 
     def near_links(self, hot: DataFrame) -> DataFrame:
