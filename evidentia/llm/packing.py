@@ -9,7 +9,9 @@ queues, rounds and sources give each grain its place in one gapless stream, whic
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -27,8 +29,10 @@ from evidentia.llm.keys import in_small_batches, maybe_broadcast
 from evidentia.sources.session import stored
 
 #: Words that a worker remembers; beyond it starts anew, which costs time only.
-REMEMBERED = 1 << 19
-_PLAIN = r"^[a-zß-öø-ÿ]+$"
+REMEMBERED = 3 << 18
+#: Bytes of texts that are tokenized at once, but for a text that is longer.
+SLICE = 1 << 22
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _BREAK = r"([a-z])([!-/:-@\[-`{-~])"
 
 
@@ -63,25 +67,28 @@ class _Words:
         self.short = normal is not None and split is not None and normal.normalize_str("AÉ") == "aé" and [w for w, _ in split.pre_tokenize_str(normal.normalize_str(probe))] == [self.byte_level(w) for w in ("aé", ",", "b", "c", "d")]
 
     def byte_level(self, word: str) -> str:
-        if word.isascii():
-            return word
         for x in word:
             if ord(x) not in self.letters:
                 self.letters[ord(x)] = self.bytes.pre_tokenize_str(x)[0][0]
         return word.translate(self.letters)
 
-    def learn(self, words: list[str], plain: list[bool]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-        model, other = self.tokenizer.model, []
-        for word, letters in zip(words, plain, strict=True):
-            if word not in self.known:
-                if letters:
-                    self.known[word] = np.array([t.id for t in model.tokenize(self.byte_level(word))], np.uint32).tobytes()
+        known, tokenize, other = self.known, self.tokenizer.model.tokenize, []
+        for word in words:
+            if word.isascii():
+                # White space is gone and A-Z are lower case by now.
+                if word.isalpha():
+                    known[word] = array("I", [t.id for t in tokenize(word)]).tobytes()
                 else:
                     other.append(word)
+            elif _PLAIN.fullmatch(word):
+                known[word] = array("I", [t.id for t in tokenize(self.byte_level(word))]).tobytes()
+            else:
+                other.append(word)
         for word, code in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(code.ids, np.uint32).tobytes()
+            known[word] = array("I", code.ids).tobytes()
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and each text's bounds in them."""
@@ -90,19 +97,24 @@ class _Words:
             return np.concatenate([*codes, np.zeros(0, np.uint32)]), np.cumsum([0, *map(len, codes)])
         words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _BREAK, r"\1 \2"))
         flat = words.flatten().dictionary_encode()
-        own = flat.dictionary.to_pylist()
-        self.learn(own, pc.match_substring_regex(flat.dictionary, _PLAIN).to_pylist())
-        codes = [self.known[w] for w in own]
+        own = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = list(map(self.known.get, own))
+        fresh = [k for k, code in enumerate(codes) if code is None]
+        self.learn([own[k] for k in fresh])
+        for k in fresh:
+            codes[k] = self.known[own[k]]
         table = np.frombuffer(b"".join(codes), np.uint32)
-        lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        starts = np.cumsum(lengths) - lengths
+        lengths = np.fromiter(map(len, codes), np.int32, len(codes)) // 4
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
         which = flat.indices.to_numpy(zero_copy_only=False)
         counts = lengths[which]
-        ends = np.zeros(len(which) + 1, np.int64)
+        # A slice of texts has fewer than 2^31 ids.
+        ends = np.zeros(len(which) + 1, np.int32)
         np.cumsum(counts, out=ends[1:])
-        place = np.arange(ends[-1]) + np.repeat(starts[which] - ends[:-1], counts)
+        place = np.repeat(starts[which] - ends[:-1], counts)
+        place += np.arange(len(place), dtype=np.int32)
         bounds = words.offsets.to_numpy()
-        return table[place], ends[bounds - bounds[0]]
+        return table[place], ends[bounds - bounds[0]].astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -110,17 +122,33 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def _narrow(ids: np.ndarray) -> bytes:
-    """Ids in two bytes each where all fit, else in four, after a byte that tells which."""
-    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
+def _narrow(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The ids of each text in two bytes each where all of the slice fit, else in four, after a byte that tells which."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    sizes = np.diff(bounds) * width + 1
+    ends = np.zeros(len(bounds), np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    data = np.full(ends[-1], width, np.uint8)
+    own = np.ones(ends[-1], bool)
+    own[ends[:-1]] = False
+    data[own] = ids.astype(f"<u{width}").view(np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def _wide(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype("<u4")
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches put together while they stay within ``SLICE`` bytes: the more texts at once, the more words are alike."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > SLICE:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
 
 
-#: Characters that one call of the tokenizer gets, but for a text that is longer.
-SLICE = 1 << 22
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype("<u4")
 
 
 def tokenized(docs: DataFrame, packing: Packing) -> DataFrame:
@@ -133,22 +161,20 @@ def tokenized(docs: DataFrame, packing: Packing) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, sent = _words(packing.tokenizer), TaskContext.get().partitionId(), {}
         row = part << 40
-        for whole in batches:
+        for whole in _gathered(batches):
             texts = pc.fill_null(whole.column(2).cast(pa.large_string()), "")
             sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
             lo = 0
             while lo < len(whole):
                 hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE, side="right")))
                 ids, bounds = words.ids(texts[lo:hi])
-                sources, at, packed = whole.column(1)[lo:hi].to_pylist(), [], []
-                for k, source in enumerate(sources):
-                    own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(packing.end))
-                    packed.append(_narrow(own))
+                ids, bounds = np.insert(ids, bounds[1:], np.uint32(packing.end)), bounds + np.arange(len(bounds))
+                n, at = np.diff(bounds), []
+                for source, size in zip(whole.column(1)[lo:hi].to_pylist(), n.tolist(), strict=True):
                     at.append(sent.get(source, 0))
-                    sent[source] = at[-1] + len(own)
-                n = np.diff(bounds) + 1
+                    sent[source] = at[-1] + size
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + hi - lo)), whole.column(0)[lo:hi], whole.column(1)[lo:hi], pa.array(np.full(hi - lo, part, np.int32)), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())],
+                    [pa.array(np.arange(row, row + hi - lo)), whole.column(0)[lo:hi], whole.column(1)[lo:hi], pa.array(np.full(hi - lo, part, np.int32)), pa.array(at, pa.int64()), pa.array(n), _narrow(ids, bounds)],
                     ["row_key", "doc_id", "source", "part", "at", "n", "ids"],
                 )
                 row, lo = row + hi - lo, hi
