@@ -17,20 +17,24 @@ def attached_samples(rows: DataFrame, manifest: DataFrame, keys: Sequence[str],
     """``rows`` with ``sample`` and ``inferred``: rows without a sample get that of the nearest frame of the manifest.
 
     Of two frames as near the later one counts; a frame number under 1 gets nothing. ``manifest`` has ``keys``,
-    ``frame`` and ``sample``; of several samples of one frame the last counts. Rows and manifest are sorted together
-    once a key, not paired.
+    ``frame`` and ``sample``; of several samples of one frame the last counts. A key's distinct frames, asked or known,
+    are sorted together, not its rows, and read once in either direction: Spark tells a window that runs from a row to
+    the end anew at each row, so the way back is a window that runs from the start of the other order.
     """
+    missing = (F.coalesce(sample, F.lit(0)) <= 0) & (F.col(frame) > 0)
     known = manifest.filter(F.col(frame).isNotNull() & F.col(sample).isNotNull()).groupBy(*keys, frame).agg(F.max(sample).alias("_sample"))
-    marks = known.select(*keys, F.col(frame).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(frame).alias("at"), "_sample").alias("_mark"))
-    asks = rows.withColumns({"_at": F.col(frame), "_kind": F.lit(1), "_mark": F.lit(None).cast(marks.schema["_mark"].dataType)})
-    both = asks.unionByName(marks, allowMissingColumns=True)
-    up, down = (Window.partitionBy(*keys).orderBy(F.col("_at").asc_nulls_first(), kind) for kind in (F.col("_kind"), F.col("_kind").desc()))
-    both = both.withColumn("_before", F.last("_mark", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first("_mark", ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing)))
+    marks = known.select(*keys, F.col(frame).alias("_at"), F.struct(F.col(frame).alias("at"), "_sample").alias("_mark"))
+    asked = rows.filter(missing).select(*keys, F.col(frame).alias("_at")).distinct()
+    points = asked.unionByName(marks, allowMissingColumns=True).groupBy(*keys, "_at").agg(F.max("_mark").alias("_mark"), F.max(F.col("_mark").isNull()).alias("_asked"))
+    nearest = lambda order: F.last("_mark", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    points = points.withColumn("_before", nearest(F.col("_at").asc())).withColumn("_after", nearest(F.col("_at").desc())).filter("_asked")
     near = F.when(F.col("_after").isNotNull() & (F.col("_before").isNull() | (F.col("_after.at") - F.col("_at") <= F.col("_at") - F.col("_before.at"))), F.col("_after._sample")).otherwise(F.col("_before._sample"))
-    missing = (F.coalesce(sample, F.lit(0)) <= 0) & (F.col(frame) > 0)
-    both = both.filter("_kind = 1").withColumn("inferred", F.coalesce(missing & near.isNotNull(), F.lit(False)))
-    return both.withColumn(sample, F.when(F.col("inferred"), near).otherwise(F.col(sample))).drop("_at", "_kind", "_mark", "_before", "_after")
+    found = points.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_at", near.alias("_near")).filter("_near is not null")
+    same = missing & (F.col(frame) == F.col("_at"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    out = rows.join(found, same, "left").withColumn("inferred", F.col("_near").isNotNull())
+    return out.withColumn(sample, F.coalesce("_near", sample)).select(*rows.columns, "inferred")
 
 
 def timeline_units(scenes: DataFrame, videos: DataFrame, durations: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -28,6 +28,17 @@ def test_samples_of_the_nearest_frame(spark):
         assert (r.sample, r.inferred) == (want, inferred)
 
 
+def test_samples_of_one_long_recording(spark):
+    n = 30_000
+    rows = spark.range(n).selectExpr("1 rec", "id", "cast(id * 3 + 1 as int) frame", "cast(if(id % 10 = 0, id + 1, null) as int) sample")
+    told = metadata.attached_samples(rows, rows.filter("sample is not null").select("rec", "frame", "sample"), KEYS, "frame", "sample")
+    plan = told._jdf.queryExecution().toString().lower()
+    assert "unboundedfollowing" not in plan, "a window to the end is told anew at each row"
+    got = {r.id: (r.sample, r.inferred) for r in told.collect()}
+    last = (n - 1) // 10 * 10
+    assert got == {k: (min((k + 5) // 10 * 10, last) + 1, k % 10 != 0) for k in range(n)}
+
+
 def by_hand(scenes, videos, notes, duration, canonical):
     units = sorted([(t, 0, i, f, None) for i, t, f in scenes] + [(a, 1, i, max(1, round((x + y) / 2)), b) for i, a, b, x, y in videos])
     number, start, end = {}, {}, {}
