@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,11 +101,24 @@ def loose_time(c: Column) -> Column:
 
 
 def found_at(text: Column, said: Column) -> Column:
-    """The places (characters from 0) at which a text that isn't empty stands in another, none over the one before."""
-    quoted = F.regexp_replace(said, r"[\\.\[\]{}()*+?^$|]", r"\\$0")
-    pieces = F.transform(F.split(text, quoted), lambda p: F.length(p))
-    places = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p, i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda s, x: s + x) + i * F.length(said))
-    return F.when(F.length(said) > 0, places)
+    """``at, beside``: the places (characters from 0) at which a text that isn't empty stands in another, none over the one before.
+
+    ``beside`` tells that a Hangul syllable stands right before or after. A text is read once, however often it has the other.
+    """
+
+    def told(texts: pa.Array, others: pa.Array) -> pa.Array:
+        at, beside, upto = [], [], [0]
+        for own, other in zip(texts.to_pylist(), others.to_pylist(), strict=True):
+            k = own.find(other) if own and other else -1
+            while k >= 0:
+                end = k + len(other)
+                at.append(k)
+                beside.append("가" <= own[k - 1 : k] <= "힣" or "가" <= own[end : end + 1] <= "힣")
+                k = own.find(other, end)
+            upto.append(len(at))
+        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(beside, pa.bool_())], ["at", "beside"]))
+
+    return F.arrow_udf(told, "array<struct<at:int,beside:boolean>>")(text, said)
 
 
 def edits(text: Column, said: Column, new: Column, nth: Column, candidate: Column) -> Column:
@@ -117,10 +131,9 @@ def edits(text: Column, said: Column, new: Column, nth: Column, candidate: Colum
     places = found_at(text, said)
     chosen = F.when(nth.isNull() | (F.size(places) == 1), places).when(nth.between(1, F.size(places)), F.slice(places, nth, F.lit(1)))
     short = ((F.length(said) <= 2) | (F.length(new) <= 2)) & F.concat(said, new).rlike("[가-힣]")
-    beside = lambda p: F.substring(text, p, F.lit(1)).rlike("^[가-힣]") & (p > 0)
-    safe = F.filter(chosen, lambda s: ~(short & (beside(s) | beside(s + F.length(said) + 1))))
     fine = (F.length(said) > 0) & (F.length(new) > 0) & (bare(said) != bare(new)) & (candidate.isNull() | F.contains(candidate, new))
-    made = F.transform(safe, lambda s: F.struct(s.alias("start"), (s + F.length(said)).alias("end"), new.alias("said")))
+    safe = F.when(short, F.filter(chosen, lambda s: ~s["beside"])).otherwise(chosen)
+    made = F.transform(safe, lambda s: F.struct(s["at"].alias("start"), (s["at"] + F.length(said)).alias("end"), new.alias("said")))
     return F.coalesce(F.when(fine, made), F.array().cast("array<struct<start:int,end:int,said:string>>"))
 
 
