@@ -18,8 +18,8 @@ SLIDE_ERROR_TYPES = ("text_error", "numeric_unit", "visual_defect", "formula_err
 
 
 def strip(c: Column) -> Column:
-    """The text without white space at its ends, tabs and line breaks too."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """The text without white space at its ends, tabs and line breaks too; inner white space isn't looked at."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def compact(c: Column) -> Column:
@@ -66,7 +66,7 @@ def text_merge(a: Column, b: Column, threshold: float = 0.83) -> Column:
 
 def without_fence(c: Column) -> Column:
     """The body of the first Markdown code fence, or the stripped text if it has none."""
-    body = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)(?:```|$)", 1)
+    body = F.regexp_replace(F.split_part(c, F.lit("```"), F.lit(2)), r"^(?:json)?\s*", "")
     return strip(F.when(c.contains("```"), body).otherwise(c))
 
 
@@ -87,8 +87,13 @@ def shortened(c: Column, most: int) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """The sentences of a text: up to terminators of several scripts or a line's end."""
-    found = F.regexp_extract_all(c, F.lit(r"[^.!?。！？\n]+[.!?。！？]*"), F.lit(0))
+    """The sentences of a text: up to terminators of several scripts or a line's end.
+
+    Texts are cut after each run of terminators and at line ends; a run that nothing precedes is no sentence. One match
+    a sentence by a negated class of Latin and other characters takes Java ten times as long.
+    """
+    ends = "[.!?。！？]"
+    found = F.filter(F.split(c, rf"(?<={ends})(?!{ends})|\n"), lambda x: ~x.rlike(rf"\A{ends}"))
     return F.filter(F.transform(found, strip), lambda x: x != "")
 
 

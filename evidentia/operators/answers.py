@@ -17,6 +17,8 @@ RELATIONS = ("supports_claim", "contradicts_claim", "irrelevant")
 URL_NAMES = ("url", "source_url", "sourceurl")
 QUERY_NAMES = ("query", "search_query", "searchquery")
 SEARCHES = ("search_call", "websearch_call")
+#: Parts that a key's rows are dealt out to before their tops are put together.
+PARTS = 32
 
 
 def assessed(excerpts: DataFrame, answers: DataFrame, keys: Sequence[str], source: str, payload: str) -> DataFrame:
@@ -47,16 +49,21 @@ def kept_evidence(rows: DataFrame, key: str, source: str, strong: str, priority:
 
     Irrelevant rows and those below ``least`` are no evidence. Strong sources come first, then small priorities (none
     and 0 last), sure relations, addresses and sources. The top ``most`` are the feature; ``mixed`` is told of all
-    rows. The rank is cut before the shuffle, so a key of very many rows sends few.
+    rows. Rows are told once: a key's are dealt out by source, each part keeps its own top, and the parts' tops are put
+    together. So a key of very many rows is cut in many tasks, and no row is joined with another.
     """
-    counts = (F.col("relation") != "irrelevant") & (F.col("confidence") >= least)
-    order = [F.when(F.col(strong), 0).otherwise(1), F.coalesce(F.nullif(F.col(priority), F.lit(0)), F.lit(99)), F.col("confidence").desc(), F.coalesce(url, F.lit("")), F.col(source)]
-    best = rows.filter(counts).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("place") <= most)
-    best = best.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("place", F.col(source).alias("source"), "relation", "confidence"))).alias("evidence"))
-    has = lambda r: F.coalesce(F.max(counts & (F.col("relation") == r)), F.lit(False))
-    told = rows.groupBy(key).agg((has("supports_claim") & has("contradicts_claim")).alias("mixed"))
-    out = told.join(best, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    return out.withColumn("status", F.when(F.col("evidence").isNull(), "insufficient_evidence").otherwise("verified"))
+    counts = F.coalesce((F.col("relation") != "irrelevant") & (F.col("confidence") >= least), F.lit(False))
+    order = [F.when(F.col(strong), 0).otherwise(1).alias("o1"), F.coalesce(F.nullif(F.col(priority), F.lit(0)), F.lit(99)).alias("o2"), (-F.col("confidence")).alias("o3"), F.coalesce(url, F.lit("")).alias("o4"), F.col(source).alias("source"), "relation", "confidence"]
+    own = rows.select(key, F.pmod(F.xxhash64(source), F.lit(PARTS)).alias("_part"), counts.alias("_counts"), F.struct(*order).alias("_row"))
+    place = F.row_number().over(Window.partitionBy(key, "_part").orderBy(F.col("_counts").desc(), "_row"))
+    has = lambda r: F.max(F.col("_counts") & (F.col("_row.relation") == r)).alias(r)
+    kept = F.collect_list(F.when(F.col("_counts") & (F.col("_place") <= most), F.col("_row")))
+    parts = own.withColumn("_place", place).groupBy(key, "_part").agg(kept.alias("_top"), *[has(r) for r in RELATIONS[:2]])
+    told = parts.groupBy(key).agg(F.slice(F.sort_array(F.flatten(F.collect_list("_top"))), 1, most).alias("_top"), *[F.max(r).alias(r) for r in RELATIONS[:2]])
+    placed = F.transform("_top", lambda x, i: F.struct((i + 1).alias("place"), x["source"].alias("source"), x["relation"].alias("relation"), x["confidence"].alias("confidence")))
+    none = F.size("_top") == 0
+    mixed = F.coalesce(F.col(RELATIONS[0]) & F.col(RELATIONS[1]), F.lit(False))
+    return told.select(key, mixed.alias("mixed"), F.when(~none, placed).alias("evidence"), F.when(none, "insufficient_evidence").otherwise("verified").alias("status"))
 
 
 def _traced(payload: str | None) -> tuple[int, list[str], list[str]]:

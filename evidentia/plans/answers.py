@@ -21,7 +21,7 @@ def kept_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(F.col("l_returnflag") == "A", "supports_claim").when(F.col("l_returnflag") == "R", " Contradicts_Claim").otherwise("maybe")
     row = F.struct(source.alias("source_id"), said.alias("relation"), (F.col("l_tax") * 12).cast("string").alias("confidence"))
     again = F.struct(F.get("rows", F.lit(0))["source_id"].alias("source_id"), F.lit("irrelevant").alias("relation"), F.lit("1").alias("confidence"))
-    told = lines.filter(n != 4).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    told = lines.filter(n != 4).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     told = told.select("l_orderkey", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.concat("rows", F.array(again)).alias("assessments"))), F.lit("\n```")).alias("payload"))
     excerpts = lines.select("l_orderkey", source.alias("source"), (F.col("l_linestatus") == "F").alias("strong"), (F.col("l_partkey") % 4).cast("int").alias("priority"), F.col("l_suppkey").cast("string").alias("url"))
     kept = answers.kept_evidence(answers.assessed(excerpts, told, ["l_orderkey"], "source", "payload"), "l_orderkey", "source", "strong", "priority", "url", 0.3, 3)

@@ -33,3 +33,20 @@ def test_edits_of_a_text_that_has_the_asked_one_very_often(spark):
     assert got[0] == [(3 * k, 3 * k + 2, "새") for k in range(n)]
     assert got[1] == [(3 * n - 3, 3 * n - 1, "새")]
     assert got[2] == [(2 * k, 2 * k + 1, "새") for k in range(n)]
+
+
+def test_fences(spark):
+    cases = {"```json\n{}\n``` x": "{}", "a ``` b ``` c": "b", "```` x```": "` x", "``````": "", "```json json": "json", "```\n[1]": "[1]", " x ": "x", "": ""}
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert {r.c: r.b for r in df.select("c", text.without_fence(F.col("c")).alias("b")).collect()} == cases
+
+
+def test_kept_evidence_joins_nothing_and_cuts_a_large_key(spark):
+    rows = spark.range(20_000).selectExpr("if(id < 19000, 1, id) k", "cast(id as string) s", "id % 2 = 0 strong", "cast(id % 5 as int) p", "cast(null as string) u", "if(id % 3 = 0, 'contradicts_claim', 'supports_claim') relation", "(id % 100) / 100 c".replace(" c", " confidence"))
+    kept = answers.kept_evidence(rows, "k", "s", "strong", "p", "u", 0.5, 3)
+    assert "Join" not in plan(kept)
+    got = {r.k: r for r in kept.collect()}
+    order = lambda i: (i % 2, i % 5 or 99, -(i % 100), str(i))
+    best = sorted((i for i in range(19_000) if i % 100 >= 50), key=order)[:3]
+    assert [(e.place, e.source) for e in got[1].evidence] == [(k, str(i)) for k, i in enumerate(best, 1)] and got[1].mixed
+    assert len(got) == 1001 and got[19_001].status == "insufficient_evidence" and got[19_099].status == "verified"
