@@ -26,8 +26,8 @@ select doc_id, md5(lower(regexp_replace(text, '\s+', '', 'g'))) compact, md5(k)
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document: how many and the longest."""
-    own = text.sentences(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(own).alias("n"), F.array_max(F.transform(own, lambda s: F.length(s))).alias("longest"))
+    lengths = F.transform(text.sentences(F.col("text")), lambda s: F.length(s))
+    return table(spark, sf_dir, "documents").select("doc_id", lengths.alias("lengths")).select("doc_id", F.size("lengths").alias("n"), F.array_max("lengths").alias("longest"))
 
 
 SENTENCES = r"""

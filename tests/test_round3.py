@@ -35,6 +35,13 @@ def test_edits_of_a_text_that_has_the_asked_one_very_often(spark):
     assert got[2] == [(2 * k, 2 * k + 1, "새") for k in range(n)]
 
 
+def test_sentences_of_several_scripts_and_wide_gaps(spark):
+    cases = ["a。b！c？d. e!? f\ng", "...x\n.y .", "가。。나\u2028다！", "a" + " " * 300_000 + "b.\t\n c ", "", None]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, t string")
+    got = {r.k: r.s for r in timed(df.select("k", text.sentences(F.col("t")).alias("s")), 30)}
+    assert got == {k: c if c is None else [x for x in (m.strip(" \t\n\x0b\f\r") for m in re.findall(r"[^.!?。！？\n]+[.!?。！？]*", c)) if x] for k, c in enumerate(cases)}
+
+
 def test_fences(spark):
     cases = {"```json\n{}\n``` x": "{}", "a ``` b ``` c": "b", "```` x```": "` x", "``````": "", "```json json": "json", "```\n[1]": "[1]", " x ": "x", "": ""}
     df = spark.createDataFrame([(c,) for c in cases], "c string")
