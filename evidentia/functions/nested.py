@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often and wherever ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def normalised(probabilities: Column) -> Column:
     """A map of probabilities scaled to sum 1 (six digits); null if a value is negative, not finite, or all are 0."""
     values = F.map_values(probabilities)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions.nested import once
 from evidentia.operators.results import first_match
 
 #: The thresholds of a window's kind.
@@ -38,17 +39,23 @@ def box_epochs(rows: DataFrame, keys: Sequence[str], at: str, order: Sequence[st
 
 
 def union_area(boxes: Column) -> Column:
-    """The area that an array of boxes ``struct<x1,y1,x2,y2>`` covers: strips between neighbouring edges, merged downwards."""
-    xs = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b["x1"]), F.transform(boxes, lambda b: b["x2"]))))
+    """The area that an array of boxes ``struct<x1,y1,x2,y2>`` covers: strips between neighbouring edges, merged downwards.
 
-    def covered(left: Column, right: Column) -> Column:
-        own = F.array_sort(F.transform(F.filter(boxes, lambda b: (b["x1"] <= left) & (b["x2"] >= right)), lambda b: F.struct(b["y1"].cast("double").alias("y1"), b["y2"].cast("double").alias("y2"))))
+    Edges and the boxes by their upper side are sorted once an array, not once a strip.
+    """
+    plain = lambda b: F.struct(*[b[c].cast("double").alias(c) for c in ("y1", "y2", "x1", "x2")])
+
+    def covered(own: Column, left: Column, right: Column) -> Column:
         start = F.struct(F.lit(float("-inf")).alias("reach"), F.lit(0.0).alias("sum"))
         step = lambda s, b: F.struct(F.greatest(s["reach"], b["y2"]).alias("reach"), (s["sum"] + F.greatest(F.lit(0.0), b["y2"] - F.greatest(b["y1"], s["reach"]))).alias("sum"))
-        return F.aggregate(own, start, step)["sum"]
+        return F.aggregate(F.filter(own, lambda b: (b["x1"] <= left) & (b["x2"] >= right)), start, step)["sum"]
+
+    def strips(own: Column, xs: Column) -> Column:
+        ends = F.zip_with(F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        return F.aggregate(ends, F.lit(0.0), lambda s, e: s + (e["y"] - e["x"]) * covered(own, e["x"], e["y"]))
 
-    strips = F.transform(F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0))), lambda x, i: (F.get(xs, i + 1) - x) * covered(x, F.get(xs, i + 1)))
-    return F.aggregate(strips, F.lit(0.0), lambda s, x: s + x)
+    edges = lambda own: F.sort_array(F.array_distinct(F.concat(F.transform(own, lambda b: b["x1"]), F.transform(own, lambda b: b["x2"]))))
+    return once(F.sort_array(F.transform(boxes, plain)), lambda own: once(edges(own), lambda xs: strips(own, xs)))
 
 
 def window_kind(motion: Column, strong: Column, changed: Column, active: Column) -> tuple[Column, Column]:

@@ -35,6 +35,14 @@ def test_edits_of_a_text_that_has_the_asked_one_very_often(spark):
     assert got[2] == [(2 * k, 2 * k + 1, "새") for k in range(n)]
 
 
+def test_area_of_many_boxes(spark):
+    rng = random.Random(4)
+    boxes = [(x, y, x + rng.randrange(1, 9), y + rng.randrange(1, 9)) for x, y in ((rng.randrange(4000), rng.randrange(50)) for _ in range(1500))]
+    df = spark.createDataFrame([([tuple(map(float, b)) for b in boxes],), ([],), (None,)], "b array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    got = [r.a for r in timed(df.select(regions.union_area(F.col("b")).alias("a")), 40)]
+    assert got == [len({(i, j) for x1, y1, x2, y2 in boxes for i in range(x1, x2) for j in range(y1, y2)}), 0.0, None]
+
+
 def test_sentences_of_several_scripts_and_wide_gaps(spark):
     cases = ["a。b！c？d. e!? f\ng", "...x\n.y .", "가。。나\u2028다！", "a" + " " * 300_000 + "b.\t\n c ", "", None]
     df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, t string")
