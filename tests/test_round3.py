@@ -65,3 +65,8 @@ def test_kept_evidence_joins_nothing_and_cuts_a_large_key(spark):
     best = sorted((i for i in range(19_000) if i % 100 >= 50), key=order)[:3]
     assert [(e.place, e.source) for e in got[1].evidence] == [(k, str(i)) for k, i in enumerate(best, 1)] and got[1].mixed
     assert len(got) == 1001 and got[19_001].status == "insufficient_evidence" and got[19_099].status == "verified"
+
+
+def test_severity_joins_no_groups(spark):
+    shown = plan(verdicts.severity_scores(spark, "/root/testdata/sf0.001"))
+    assert "Join" not in shown and shown.count("FileScan") == 1
