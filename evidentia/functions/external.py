@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,20 +19,21 @@ INK = "aeiouAEIOU"
 def raster(text: Column, cells: int) -> Column:
     """A text as a strip of ``cells`` cells of equal length; a cell's ink is its share of vowels in thousandths.
 
-    Each character is looked at once; a null text is empty, cells without characters have no ink.
+    Each character is looked at once; a null text is empty, cells without characters have no ink. Texts are taken from
+    their Arrow batch one by one and strips go back as one flat array, so a task holds a batch once, not also as objects.
     """
     ink = np.array([ord(c) for c in INK], np.uint32)
 
-    def laid(texts: pd.Series) -> pd.Series:
-        out = []
-        for said in texts:
-            codes = np.frombuffer((said or "").encode("utf-32-le"), np.uint32)
+    def laid(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), cells), np.int64)
+        for k, said in enumerate(texts):
+            codes = np.frombuffer((said.as_py() or "").encode("utf-32-le"), np.uint32)
             upto = np.append(0, np.cumsum(np.isin(codes, ink)))
             edges = np.arange(cells + 1, dtype=np.int64) * len(codes) // cells
-            out.append(1000 * np.diff(upto[edges]) // np.maximum(np.diff(edges), 1))
-        return pd.Series(out, dtype=object)
+            out[k] = 1000 * np.diff(upto[edges]) // np.maximum(np.diff(edges), 1)
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * cells, out.reshape(-1))
 
-    return F.pandas_udf(laid, "array<long>")(text)
+    return F.arrow_udf(laid, "array<long>")(text)
 
 
 def stand_in(model: str, text: str) -> float:

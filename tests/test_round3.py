@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from evidentia.functions import blocks, external, payloads, text
+from evidentia.functions import external, payloads, text
 from evidentia.operators import answers, regions
 from evidentia.plans import verdicts
 
@@ -70,3 +70,10 @@ def test_kept_evidence_joins_nothing_and_cuts_a_large_key(spark):
 def test_severity_joins_no_groups(spark):
     shown = plan(verdicts.severity_scores(spark, "/root/testdata/sf0.001"))
     assert "Join" not in shown and shown.count("FileScan") == 1
+
+
+def test_raster_goes_by_arrow(spark):
+    df = spark.createDataFrame([("aXeX",), ("",), (None,), ("가e",)], "t string")
+    own = df.select(external.raster(F.col("t"), 2).alias("c"))
+    assert [r.c for r in own.collect()] == [[500, 500], [0, 0], [0, 0], [0, 1000]]
+    assert external.raster(F.col("t"), 2)._jc.toString().startswith("laid(")
