@@ -73,7 +73,7 @@ class Chunks:
 @pandas_udf(DoubleType())
 def matching_ratio(one: pd.Series, two: pd.Series) -> pd.Series:
     """``matching_ratio(a, b)``: the matching-blocks ratio of two texts."""
-    return pd.Series([blocks.ratio(a, b) for a, b in zip(one, two, strict=True)], dtype="float64")
+    return pd.Series(blocks.ratios(one.tolist(), two.tolist()))
 
 
 #: Scalar functions in SQL itself, which Catalyst inlines.

@@ -97,16 +97,33 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(found, strip), lambda x: x != "")
 
 
+def paragraphs(c: Column) -> Column:
+    """A text's lines that aren't empty, stripped."""
+    return F.filter(F.transform(F.split(c, r"\n+"), strip), lambda x: x != "")
+
+
 def passages(c: Column, most: int = 900) -> Column:
     """Paragraphs put together while they fit into ``most`` characters; a longer paragraph stays whole."""
-    parts = F.filter(F.transform(F.split(c, r"\n+"), strip), lambda x: x != "")
 
     def step(done: Column, x: Column) -> Column:
         last = F.element_at(done, -1)
         fits = (F.size(done) > 0) & (F.length(last) + 1 + F.length(x) <= most)
         return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, F.lit("\n"), x)))).otherwise(F.concat(done, F.array(x)))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.aggregate(paragraphs(c), F.array().cast("array<string>"), step)
+
+
+def passage_ranges(parts: Column, most: Column) -> Column:
+    """``first, last, long`` of the passages that :func:`passages` makes of paragraphs: places from 1, and characters."""
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        at, long = F.coalesce(last["last"], F.lit(0)) + 1, last["long"] + 1 + F.length(x)
+        on = F.struct(last["first"].alias("first"), at.alias("last"), long.alias("long"))
+        new = F.struct(at.alias("first"), at.alias("last"), F.length(x).alias("long"))
+        return F.when((F.size(done) > 0) & (long <= most), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(on))).otherwise(F.concat(done, F.array(new)))
+
+    return F.aggregate(parts, F.array().cast("array<struct<first:int,last:int,long:int>>"), step)
 
 
 def terms(c: Column, stop: tuple[str, ...] = ("the", "and", "of", "is", "a", "an", "to", "in"), most: int = 24) -> Column:

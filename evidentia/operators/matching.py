@@ -14,14 +14,10 @@ NEEDLE, PASSAGE, KEPT = 1200, 1600, 900
 #: The least ratio of a match that isn't exact.
 FUZZY = 0.62
 
-_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
-
 
 def match_text(c: Column) -> Column:
     """A text in lower case with single spaces for all but letters, digits and ``_.%+#/-``."""
-    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), _SPACE, " ")
-    plain = F.regexp_replace(plain, r"[^\p{L}\p{N}_.%+#/-]+", " ")
-    return F.trim(F.regexp_replace(plain, " +", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_.%+#/-]+", " "))
 
 
 def sentence_text(c: Column) -> Column:
@@ -59,39 +55,45 @@ def best_by_ratio(pairs: DataFrame, keys: list[str], place: str, one: str, two:
     return first.unionByName(later.select(*first.columns)).groupBy(*keys).agg(best).select(*keys, "_top.ratio", "_top._row.*")
 
 
-def located(rows: DataFrame, keys: list[str], needle: str, haystack: str) -> DataFrame:
-    """``keys, status, score, matched``: where each row's needle stands in its haystack.
+def located(rows: DataFrame, keys: list[str], needles: list[str], haystack: str) -> DataFrame:
+    """``keys``, and for each of ``needles`` ``status, score, matched`` under its name: where it stands in its row's haystack.
 
     ``exact`` if the haystack has it as it is, but for case, marks and spaces; else the passage that matches best, as
     ``fuzzy`` from ``FUZZY`` on, below that as ``not_found``. Of passages that match alike the first is taken. An empty
-    or null text is not found. ``keys`` must be unique.
+    or null text is not found. A row is told by itself: nothing is shuffled, and a haystack is made plain once, a
+    paragraph at a time, since neither passages nor what is matched of them reach across a paragraph's end.
     """
-    own = rows.select(*keys, F.coalesce(needle, F.lit("")).alias("needle"), F.coalesce(haystack, F.lit("")).alias("haystack"))
-    own = own.withColumns({"n": match_text(F.col("needle")), "h": match_text(F.col("haystack"))})
-    told = (F.col("n") != "") & (F.col("h") != "")
-    exact = F.coalesce(told & F.contains("h", "n"), F.lit(False))
-    own = own.withColumns({"told": told, "exact": exact})
-    most = F.greatest(F.lit(KEPT), F.least(F.lit(2 * KEPT), F.length("needle") + 500))
-    open_ = own.filter("told and not exact").select(*keys, "n", F.posexplode(text.passages(F.col("haystack"), most)).alias("place", "passage"))
-    pairs = open_.select(*keys, "place", F.left("n", F.lit(NEEDLE)).alias("one"), F.left(match_text(F.col("passage")), F.lit(PASSAGE)).alias("two"), F.left("passage", F.lit(KEPT)).alias("matched"))
-    best = best_by_ratio(pairs, keys, "place", "one", "two").filter("ratio > 0")
-    fuzzy = best.select(*keys, F.when(F.col("ratio") >= FUZZY, "fuzzy").otherwise("not_found").alias("status"), F.round("ratio", 4).alias("score"), "matched")
-    sure = own.filter("exact").select(*keys, F.lit("exact").alias("status"), F.lit(1.0).alias("score"), F.left("needle", F.lit(KEPT)).alias("matched"))
-    found = fuzzy.unionByName(sure)
-    out = own.select(*keys).join(found, keys, "left")
-    return out.select(*keys, F.coalesce("status", F.lit("not_found")).alias("status"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matched", F.lit("")).alias("matched"))
+    own = rows.select(*keys, *[F.coalesce(c, F.lit("")).alias(c) for c in needles], text.paragraphs(F.coalesce(haystack, F.lit(""))).alias("_parts"))
+    own = own.withColumns({"_plain": F.transform("_parts", match_text), **{f"_n_{c}": match_text(F.col(c)) for c in needles}})
+    own = own.withColumn("_h", F.array_join(F.filter("_plain", lambda x: x != ""), " "))
+    own = own.withColumns({f"_exact_{c}": (F.col(f"_n_{c}") != "") & F.contains("_h", f"_n_{c}") for c in needles})
+    open_ = {c: (F.col(f"_n_{c}") != "") & (F.col("_h") != "") & ~F.col(f"_exact_{c}") for c in needles}
+    most = {c: F.greatest(F.lit(KEPT), F.least(F.lit(2 * KEPT), F.length(c) + 500)) for c in needles}
+    own = own.withColumns({f"_at_{c}": F.when(open_[c], text.passage_ranges(F.col("_parts"), most[c])) for c in needles})
+    piece = lambda x: F.left(F.array_join(F.filter(F.slice("_plain", x["first"], x["last"] - x["first"] + 1), lambda y: y != ""), " "), F.lit(PASSAGE))
+    best = {f"_best_{c}": blocks.best_match(F.left(f"_n_{c}", F.lit(NEEDLE)), F.transform(f"_at_{c}", piece)) for c in needles}
+    own = own.withColumns(best)
+
+    def found(c: str) -> Column:
+        ratio, at = F.col(f"_best_{c}.ratio"), F.get(f"_at_{c}", F.col(f"_best_{c}.place"))
+        passage = F.left(F.array_join(F.slice("_parts", at["first"], at["last"] - at["first"] + 1), "\n"), F.lit(KEPT))
+        told = lambda status, score, matched: F.struct(F.lit(status).alias("status"), score.alias("score"), matched.alias("matched"))
+        out = F.when(F.col(f"_exact_{c}"), told("exact", F.lit(1.0), F.left(c, F.lit(KEPT))))
+        out = out.when(ratio >= FUZZY, told("fuzzy", F.round(ratio, 4), passage)).when(ratio > 0, told("not_found", F.round(ratio, 4), passage))
+        return out.otherwise(told("not_found", F.lit(0.0), F.lit("")))
+
+    return own.select(*keys, *[found(c).alias(c) for c in needles])
 
 
 def verified_passages(rows: DataFrame, key: str, page: str, quote: str, sentence: str) -> DataFrame:
     """Whether what a model reported of a page stands there: its key sentence where that match is usable, else its quote.
 
-    ``key, match_status, match_score, matched_text``, and status and score of both. ``key`` must be unique and not
-    null; null and empty texts aren't found; an empty table gives no rows.
+    ``key, match_status, match_score, matched_text``, and status and score of both. Null and empty texts aren't found;
+    an empty table gives no rows.
     """
-    each = rows.select(key, F.col(page).alias("page"), F.explode(F.array(*[F.struct(F.lit(x).alias("part"), F.trim(F.coalesce(F.col(c), F.lit(""))).alias("said")) for x, c in (("quote", quote), ("sentence", sentence))])).alias("e"))
-    found = located(each.select(key, "e.part", "e.said", "page"), [key, "part"], "said", "page")
-    of = lambda part: F.max(F.when(F.col("part") == part, F.struct("status", "score", "matched"))).alias(part)
-    both = found.groupBy(key).agg(of("quote"), of("sentence"))
+    said = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    each = rows.select(F.col(key), F.col(page).alias("_page"), said(quote).alias("quote"), said(sentence).alias("sentence"))
+    both = located(each, [key], ["quote", "sentence"], "_page")
     chosen = F.when(usable_passage(F.col("sentence.status"), F.col("sentence.score")), F.col("sentence")).otherwise(F.col("quote"))
     both = both.withColumn("chosen", chosen)
     return both.select(

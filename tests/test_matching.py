@@ -187,3 +187,34 @@ def test_overlapping_is_all_pairs(spark, closed, width):
     meets = (lambda x, y: x[1] <= y[2] and y[1] <= x[2]) if closed else (lambda x, y: x[1] < y[2] and y[1] < x[2])
     assert got == sorted((x[0], y[0]) for x in one for y in two if valid(x) and valid(y) and meets(x, y))
     assert joins.overlapping(left.limit(0), right, ("lo", "hi"), ("start", "end"), width).count() == 0
+
+
+@pytest.mark.parametrize("limits", [(1 << 18, 1 << 20, 1 << 21), (900, 1 << 20, 1 << 21), (1 << 18, 3000, 1 << 21), (1 << 18, 1 << 20, 200)])
+def test_ratios_of_many_pairs_are_those_of_each(monkeypatch, limits):
+    for name, limit in zip(("MOST_CHARACTERS", "MOST_TOGETHER", "MOST_CELLS"), limits, strict=True):
+        monkeypatch.setattr(blocks, name, limit)
+    rng = random.Random(2)
+    pairs = [(None, ""), ("", "x"), ("\0\0a", "a\0"), ("ab" * 300, "ab" * 300)]
+    for k in range(300):
+        alphabet, size = rng.choice(ALPHABETS), rng.choice([5, 30, 400])
+        a = noise(rng, rng.randint(0, size), alphabet)
+        pairs.append((a, altered(rng, a, rng.randint(0, 8), alphabet) if k % 2 else noise(rng, rng.randint(0, size), alphabet)))
+    ones, twos = [a for a, _ in pairs], [b for _, b in pairs]
+    assert blocks.ratios(ones, twos).tolist() == [SequenceMatcher(None, a or "", b or "").ratio() for a, b in pairs]
+    assert blocks.bounds(ones, twos).tolist() == [blocks.bound(a, b) for a, b in pairs]
+    many = [[rng.choice(twos) or "" for _ in range(rng.randint(0, 4))] for _ in ones]
+    place, score = blocks.best_of(ones, [*many[:-1], None])
+    for a, own, k, r in zip(ones, [*many[:-1], None], place, score, strict=True):
+        told = [] if a is None or own is None else [SequenceMatcher(None, a, b).ratio() for b in own]
+        assert (k, r) == ((told.index(max(told)), max(told)) if told else (-1, -1.0))
+    assert len(blocks.ratios([], [])) == 0
+
+
+def test_verified_passages_shuffle_nothing(spark):
+    page, quote, sentence = "A page.\nIts end, Σ.\n\n \nx", "a PAGE. its", "its endx"
+    df = spark.createDataFrame([(1, page, quote, sentence)], "id long, page string, quote string, sentence string")
+    got = matching.verified_passages(df, "id", "page", "quote", "sentence")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("Scan") == 1
+    (q, r), (s, t) = scan(quote, page)[:2], scan(sentence, page)[:2]
+    assert got.first()[1:] == (q, r, quote, s, t, q, r) and (q, s) == ("exact", "not_found")
