@@ -44,12 +44,14 @@ def best_by_ratio(pairs: DataFrame, keys: list[str], place: str, one: str, two:
     head = F.max(F.struct("_bound", (-F.col(place)).alias("_back"), F.struct(place, *rest).alias("_row"))).alias("_top")
     first = rows.groupBy(*keys).agg(head).select(*keys, "_top._row.*")
     first = stored(first.withColumn("ratio", blocks.matching_ratio(F.col(one), F.col(two))))
-    known = first.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("ratio").alias("_ratio"), F.col(place).alias("_place"))
+    known = first.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("ratio").alias("_ratio"), F.col(place).alias("_place"), F.col(one).alias("_one"), F.col(two).alias("_two"))
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     still = (F.col("_bound") > F.col("_ratio")) | ((F.col("_bound") == F.col("_ratio")) & (F.col(place) < F.col("_place")))
-    later = rows.join(known, same & still).filter(F.col(place) != F.col("_place")).select(*keys, place, *rest)
+    # A place may have several rows; only the one that was compared is left out.
+    done = (F.col(place) == F.col("_place")) & F.col(one).eqNullSafe(F.col("_one")) & F.col(two).eqNullSafe(F.col("_two"))
+    later = rows.join(known, same & still).filter(~done).select(*keys, place, *rest)
     later = later.withColumn("ratio", blocks.matching_ratio(F.col(one), F.col(two)))
     best = F.max(F.struct("ratio", (-F.col(place)).alias("_back"), F.struct(place, *rest).alias("_row"))).alias("_top")
     return first.unionByName(later.select(*first.columns)).groupBy(*keys).agg(best).select(*keys, "_top.ratio", "_top._row.*")
@@ -129,6 +131,32 @@ def closest_sentences(candidates: DataFrame, key: str, place: str, sentence: str
     return best_by_ratio(own.filter("signal is not null"), [key], place, "s", "signal").select(key, place).unionByName(none)
 
 
+def closest_own(claims: DataFrame, sentences: str, signals: list[str]) -> DataFrame:
+    """``claims`` with ``place``: which of its own array of sentences is each claim's closest, by the rule of :func:`closest_sentences`.
+
+    Places count from 0; without sentences it is null. A row is told by itself, and only sentences that are held alike
+    are compared by their ratio.
+    """
+    names = [f"_signal{k}" for k in range(len(signals))]
+    own = claims.withColumns({n: F.nullif(sentence_text(F.col(c)), F.lit("")) for n, c in zip(names, signals, strict=True)} | {"_plain": F.transform(sentences, sentence_text)})
+
+    def held(s: Column, signal: str) -> Column:
+        a, b = F.length(s), F.length(signal)
+        within = F.contains(F.col(signal), s) | F.contains(s, F.col(signal))
+        return F.when(within, F.least(a, b) / F.greatest(F.lit(1), a, b)).otherwise(0.0)
+
+    own = own.withColumn("_held", F.transform("_plain", lambda s: F.greatest(F.lit(0.0), *[held(s, n) for n in names])))
+    own = own.withColumn("_most", F.array_max("_held"))
+    each = F.transform("_plain", lambda s, i: F.struct(i.alias("at"), s.alias("s"), F.get("_held", i).alias("held")))
+    own = own.withColumn("_best", F.filter(each, lambda x: x["held"] == F.col("_most")))
+    left = F.when(F.size("_best") > 1, F.transform("_best", lambda x: x["s"]))
+    own = own.withColumns({f"_told{n}": blocks.best_match(F.col(n), left, turned=True) for n in names})
+    # The best ratio with any signal, the lowest place; without ratios the first of those held best.
+    top = F.array_max(F.array(*[F.struct(F.col(f"_told{n}.ratio").alias("ratio"), (-F.col(f"_told{n}.place")).alias("back")) for n in names]))
+    place = F.get("_best", F.when(top["ratio"] >= 0, -top["back"]).otherwise(0))["at"]
+    return own.select(*claims.columns, place.cast("long").alias("place"))
+
+
 def with_neighbours(found: DataFrame, sentences: DataFrame, key: str, part: str, place: str, context: str, sentence: str) -> DataFrame:
     """``key, context_ids, lines``: each closest sentence with the one before and after it, each after its context's id.
 
@@ -144,5 +172,10 @@ def with_neighbours(found: DataFrame, sentences: DataFrame, key: str, part: str,
 
 def numbered_sentences(rows: DataFrame, part: str, context: str, said: str) -> DataFrame:
     """``part, context, place, sentence``: the sentences of a recording's contexts in order, numbered from 0."""
-    each = rows.select(part, context, F.posexplode(transcript_sentences(F.col(said))).alias("_k", "sentence"))
-    return each.withColumn("place", (F.row_number().over(Window.partitionBy(part).orderBy(context, "_k")) - 1).cast("long")).drop("_k")
+    return numbered(rows.select(part, context, transcript_sentences(F.col(said)).alias("_said")), part, context, "_said").drop("own")
+
+
+def numbered(rows: DataFrame, part: str, context: str, said: str, *kept: str) -> DataFrame:
+    """:func:`numbered_sentences` of contexts that are arrays of sentences already, with each one's ``own`` place there and what is kept."""
+    each = rows.select(part, context, *kept, F.posexplode(said).alias("own", "sentence"))
+    return each.withColumn("place", (F.row_number().over(Window.partitionBy(part).orderBy(context, "own")) - 1).cast("long")).select(part, context, "place", "sentence", "own", *kept)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import blocks
 from evidentia.operators import hamming, joins, matching
+from evidentia.plans import evidence
 
 ALPHABETS = ["ab", "abc ", "abcdefghijklmnopqrstuvwxyz     éèü가나"]
 
@@ -218,3 +219,34 @@ def test_verified_passages_shuffle_nothing(spark):
     assert "Exchange" not in plan and "Join" not in plan and plan.count("Scan") == 1
     (q, r), (s, t) = scan(quote, page)[:2], scan(sentence, page)[:2]
     assert got.first()[1:] == (q, r, quote, s, t, q, r) and (q, s) == ("exact", "not_found")
+
+
+def test_closest_sentence_by_another_signal_than_the_one_with_the_largest_bound(spark):
+    rows = [(1, k, s, "abcdefgh", "xyz11111") for k, s in enumerate(["22xy222", "hgfedcbaxyz", "33"])]
+    df = spark.createDataFrame(rows, "claim long, place long, sentence string, one string, two string")
+    assert [tuple(r) for r in matching.closest_sentences(df, "claim", "place", "sentence", ["one", "two"]).collect()] == [(1, 1)]
+    own = spark.createDataFrame([(1, [r[2] for r in rows], *rows[0][3:])], "claim long, said array<string>, one string, two string")
+    assert matching.closest_own(own, "said", ["one", "two"]).first().place == 1
+
+
+def test_closest_of_own_sentences(spark):
+    rng = random.Random(9)
+    rows, want = [(-1, [], "a", "b")], {-1: None}
+    for key in range(150):
+        sentences = [noise(rng, rng.randint(0, 60), "abcde fg가.") for _ in range(rng.randint(1, 8))]
+        one = rng.choice([None, "", altered(rng, rng.choice(sentences), 2, "xa"), rng.choice(sentences)[3:20]])
+        two = rng.choice([None, "", noise(rng, 20, "abcde")])
+        want[key] = closest(list(enumerate(sentences)), [one, two])
+        rows.append((key, sentences, one, two))
+    df = spark.createDataFrame(rows, "claim long, said array<string>, one string, two string")
+    own = matching.closest_own(df, "said", ["one", "two"])
+    assert {r.claim: r.place for r in own.collect()} == want
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_claims_of_turns_without_text(spark, tmp_path):
+    turns = [(1, 0, "user", "One two. Three four! Five."), (1, 1, "user", ""), (1, 2, "user", None), (1, 3, "user", " \n "), (1, 4, "user", "six")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.claim: (r.place, r.contexts, r.lines) for r in evidence.claim_sentences(spark, str(tmp_path)).collect()}
+    assert got == {"1:0": (1, "0", "0: One two.\n0: Three four!\n0: Five."), "1:4": (3, "0,4", "0: Five.\n4: six")}
