@@ -27,8 +27,11 @@ def sentence_text(c: Column) -> Column:
 
 def transcript_sentences(c: Column) -> Column:
     """The sentences of a text: up to a terminator and closing marks before white space, a line's end, or the end."""
-    rule = r"""(?s).+?(?:[.!?。！？]+["'”’)\]]*(?=[\s\x1c-\x1f\x85\p{Z}]|\z)|\n+|\z)"""
-    found = F.regexp_extract_all(text.strip(F.coalesce(c, F.lit(""))), F.lit(rule), F.lit(0))
+    # Runs with and without terminators are taken whole: a sentence ends at all places of a run of them or at none, and
+    # asking at each one takes time with the square of the run.
+    ends, rest = "[.!?。！？]", r"[^.!?。！？\n]*+"
+    end = rf"""{ends}++["'”’)\]]*+(?=[\s\x1c-\x1f\x85\p{{Z}}]|\z)"""
+    found = F.regexp_extract_all(text.strip(F.coalesce(c, F.lit(""))), F.lit(rf"(?s).{rest}(?:(?!{end}){ends}++{rest})*+(?:{end}|\n+|\z)"), F.lit(0))
     return F.filter(F.transform(found, text.strip), lambda x: x != "")
 
 
@@ -177,5 +180,6 @@ def numbered_sentences(rows: DataFrame, part: str, context: str, said: str) -> D
 
 def numbered(rows: DataFrame, part: str, context: str, said: str, *kept: str) -> DataFrame:
     """:func:`numbered_sentences` of contexts that are arrays of sentences already, with each one's ``own`` place there and what is kept."""
-    each = rows.select(part, context, *kept, F.posexplode(said).alias("own", "sentence"))
+    # An outer one, since from the other kind Spark infers a filter and cuts the sentences for that once more.
+    each = rows.select(part, context, *kept, F.posexplode_outer(said).alias("own", "sentence")).filter("own is not null")
     return each.withColumn("place", (F.row_number().over(Window.partitionBy(part).orderBy(context, "own")) - 1).cast("long")).select(part, context, "place", "sentence", "own", *kept)

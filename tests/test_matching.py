@@ -245,6 +245,23 @@ def test_closest_of_own_sentences(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_sentences_are_those_of_the_plain_rule(spark):
+    rng = random.Random(10)
+    rule = r"""(?s).+?(?:[.!?。！？]+["'”’)\]]*(?=[\s\x1c-\x1f\x85\xa0]|\Z)|\n+|\Z)"""
+    texts = [noise(rng, rng.randint(0, 30), "ab.!?。！\n\n \"')”]\t\x1f가") for _ in range(3000)] + ["." * 50_000 + "a", "a" * 50_000, "a. " * 9_000]
+    cut = [[y for x in re.findall(rule, t.strip(" \t\n\x0b\f\r")) if (y := x.strip(" \t\n\x0b\f\r"))] for t in texts[:3000]] + [texts[3000:3001], texts[3001:3002], ["a."] * 9_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.s for r in df.select("k", matching.transcript_sentences(F.col("t")).alias("s")).collect()}
+    assert got == dict(enumerate(cut))
+
+
+def test_claims_cut_turns_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(evidence, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    evidence.claim_sentences(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and plans[0].count("regexp_extract_all(") == 1 and "Join" not in plans[0]
+
+
 def test_claims_of_turns_without_text(spark, tmp_path):
     turns = [(1, 0, "user", "One two. Three four! Five."), (1, 1, "user", ""), (1, 2, "user", None), (1, 3, "user", " \n "), (1, 4, "user", "six")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
