@@ -9,8 +9,8 @@ from evidentia.functions import blocks, text
 from evidentia.operators.evidence import usable_passage
 from evidentia.sources.session import stored
 
-#: Characters of a needle and of a passage that are compared, and of a matched text that are kept.
-NEEDLE, PASSAGE, KEPT = 1200, 1600, 900
+#: A page's passages have so many characters, or as many as the needle and so many more.
+SHORTEST, MORE = 900, 500
 #: The least ratio of a match that isn't exact.
 FUZZY = 0.62
 
@@ -65,25 +65,26 @@ def located(rows: DataFrame, keys: list[str], needles: list[str], haystack: str)
 
     ``exact`` if the haystack has it as it is, but for case, marks and spaces; else the passage that matches best, as
     ``fuzzy`` from ``FUZZY`` on, below that as ``not_found``. Of passages that match alike the first is taken. An empty
-    or null text is not found. A row is told by itself: nothing is shuffled, and a haystack is made plain once, a
-    paragraph at a time, since neither passages nor what is matched of them reach across a paragraph's end.
+    or null text is not found. Needles and passages are compared whole and given back whole; passages grow with their
+    needle, so that a long one finds its like. A row is told by itself: nothing is shuffled, and a haystack is made
+    plain once, a paragraph at a time, since passages end where a paragraph does.
     """
     own = rows.select(*keys, *[F.coalesce(c, F.lit("")).alias(c) for c in needles], text.paragraphs(F.coalesce(haystack, F.lit(""))).alias("_parts"))
     own = own.withColumns({"_plain": F.transform("_parts", match_text), **{f"_n_{c}": match_text(F.col(c)) for c in needles}})
     own = own.withColumn("_h", F.array_join(F.filter("_plain", lambda x: x != ""), " "))
     own = own.withColumns({f"_exact_{c}": (F.col(f"_n_{c}") != "") & F.contains("_h", f"_n_{c}") for c in needles})
     open_ = {c: (F.col(f"_n_{c}") != "") & (F.col("_h") != "") & ~F.col(f"_exact_{c}") for c in needles}
-    most = {c: F.greatest(F.lit(KEPT), F.least(F.lit(2 * KEPT), F.length(c) + 500)) for c in needles}
+    most = {c: F.greatest(F.lit(SHORTEST), F.length(c) + MORE) for c in needles}
     own = own.withColumns({f"_at_{c}": F.when(open_[c], text.passage_ranges(F.col("_parts"), most[c])) for c in needles})
-    piece = lambda x: F.left(F.array_join(F.filter(F.slice("_plain", x["first"], x["last"] - x["first"] + 1), lambda y: y != ""), " "), F.lit(PASSAGE))
-    best = {f"_best_{c}": blocks.best_match(F.left(f"_n_{c}", F.lit(NEEDLE)), F.transform(f"_at_{c}", piece)) for c in needles}
+    piece = lambda x: F.array_join(F.filter(F.slice("_plain", x["first"], x["last"] - x["first"] + 1), lambda y: y != ""), " ")
+    best = {f"_best_{c}": blocks.best_match(F.col(f"_n_{c}"), F.transform(f"_at_{c}", piece)) for c in needles}
     own = own.withColumns(best)
 
     def found(c: str) -> Column:
         ratio, at = F.col(f"_best_{c}.ratio"), F.get(f"_at_{c}", F.col(f"_best_{c}.place"))
-        passage = F.left(F.array_join(F.slice("_parts", at["first"], at["last"] - at["first"] + 1), "\n"), F.lit(KEPT))
+        passage = F.array_join(F.slice("_parts", at["first"], at["last"] - at["first"] + 1), "\n")
         told = lambda status, score, matched: F.struct(F.lit(status).alias("status"), score.alias("score"), matched.alias("matched"))
-        out = F.when(F.col(f"_exact_{c}"), told("exact", F.lit(1.0), F.left(c, F.lit(KEPT))))
+        out = F.when(F.col(f"_exact_{c}"), told("exact", F.lit(1.0), F.col(c)))
         out = out.when(ratio >= FUZZY, told("fuzzy", F.round(ratio, 4), passage)).when(ratio > 0, told("not_found", F.round(ratio, 4), passage))
         return out.otherwise(told("not_found", F.lit(0.0), F.lit("")))
 

@@ -92,6 +92,43 @@ def test_verified_passages_are_those_of_a_full_scan(spark):
     assert matching.verified_passages(df.limit(0), "id", "page", "quote", "sentence").count() == 0
 
 
+def scan_whole(needle, haystack):
+    n, h = norm(needle), norm(haystack)
+    if not n or not h:
+        return "not_found", 0.0, ""
+    if n in h:
+        return "exact", 1.0, needle
+    told = [(SequenceMatcher(None, n, norm(p)).ratio(), -k, p) for k, p in enumerate(split(haystack, max(900, len(needle) + 500)))]
+    best, _, text = max(told)
+    return "fuzzy" if best >= 0.62 else "not_found", round(best, 4), text if best > 0 else ""
+
+
+def test_passages_and_what_is_looked_up_are_compared_whole(spark):
+    rng = random.Random(5)
+    alphabet = "abcdefghijklmnopqrstuvwxyzéèüßñøåæœçàâêîôûäöëïÿãõ0123456789가나다라마바사아자차카타파하" + " " * 9
+    long, other, tail = ("ab" + noise(rng, n, alphabet) + "yz" for n in (4000, 2600, 3000))
+    many = "\n".join(noise(rng, 300, alphabet) for _ in range(30))
+    rows = [
+        (0, long, long, long[5:3900]),
+        (1, long, altered(rng, long, 40, "xyz"), "q" * 30 + long[2500:]),
+        # Alike in their first characters only, and apart in these only.
+        (2, long, long[:1300] + tail, long[:1200] + noise(rng, 9000, "+-/")),
+        (3, long, noise(rng, 1700, alphabet) + long[1700:], other),
+        (4, other[:1700] + long + "\n" + other[:1700] + tail, other[:1650] + altered(rng, tail, 5, "q"), "nowhere"),
+        (5, many, altered(rng, many[400:6400], 30, "xyz"), many[6000:9000].replace("\n", " q ")),
+    ]
+    df = spark.createDataFrame(rows, "id long, page string, quote string, sentence string")
+    got = {r.id: r for r in matching.located(df, ["id"], ["quote", "sentence"], "page").collect()}
+    for k, page, quote, sentence in rows:
+        assert tuple(got[k].quote) == scan_whole(quote, page), k
+        assert tuple(got[k].sentence) == scan_whole(sentence, page), k
+    assert got[0].quote == ("exact", 1.0, long) and got[1].quote.matched == long
+    assert (got[2].quote.status, got[2].sentence.status) == ("not_found", "not_found")
+    assert got[4].quote.matched == other[:1700] + tail
+    # A quote of 6,000 characters in many paragraphs is found as a whole.
+    assert got[5].quote.status == "fuzzy" and len(got[5].quote.matched) > 5000
+
+
 def closest(rows, signals):
     clean = lambda x: re.sub(r"[^0-9a-z가-힣]+", "", (x or "").lower())
     signals = [clean(x) for x in signals if clean(x)]
