@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from difflib import SequenceMatcher
 
 import pytest
@@ -248,6 +249,32 @@ def test_ratios_of_many_pairs_are_those_of_each(monkeypatch, limits):
     assert len(blocks.ratios([], [])) == 0
 
 
+@pytest.mark.parametrize("most", [0, 20, 1000])
+def test_ratio_of_long_texts_is_that_of_matching_blocks(monkeypatch, most):
+    monkeypatch.setattr(blocks, "MOST_POINTS", most)
+    monkeypatch.setattr(blocks, "LONG", 700)
+    rng = random.Random(most)
+    wide = ["abcdefghijklmnopqrstuvwxyz" * 3 + "0123456789가나다라마바사아자" + " " * 20, "".join(map(chr, range(0x4E00, 0x4E00 + 300)))]
+    pairs = []
+    for k in range(150):
+        alphabet, size = rng.choice([*ALPHABETS, *wide]), rng.choice([30, 400, 1500])
+        a = noise(rng, rng.randint(0, size), alphabet) * rng.choice([1, 1, 3])
+        pairs.append((a, altered(rng, a, rng.randint(0, 30), alphabet) if k % 3 else noise(rng, rng.randint(0, size), alphabet) * 2))
+    assert blocks.ratios(*map(list, zip(*pairs, strict=True))).tolist() == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
+def test_points_of_long_texts_are_not_held():
+    # Of these texts 5 million pairs of characters are equal and may begin a block.
+    rng = random.Random(4)
+    text = noise(rng, 60_000, "".join(map(chr, range(0x4E00, 0x4E00 + 700))))
+    short = "".join(c for c in text if rng.random() > 0.002)
+    tracemalloc.start()
+    got = blocks.ratio(short, text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == 2 * len(short) / (len(short) + len(text)) and most < 100e6
+
+
 def test_verified_passages_shuffle_nothing(spark):
     page, quote, sentence = "A page.\nIts end, Σ.\n\n \nx", "a PAGE. its", "its endx"
     df = spark.createDataFrame([(1, page, quote, sentence)], "id long, page string, quote string, sentence string")
